@@ -78,7 +78,7 @@ CASES: dict[str, tuple[str, str, str, str]] = {
     "filter_ge_num": ("lineitem", "SELECT (COUNT(*) AS ?n) { ?l p:l_quantity ?q FILTER(?q >= 40) }", "n:.long", "select count(*) as n from lineitem where l_quantity >= 40"),
     "filter_and_or_precedence": ("customer", 'SELECT ?c { ?c p:c_mktsegment ?s ; p:c_acctbal ?b FILTER((?s = "BUILDING" || ?s = "MACHINERY") && ?b > 5000) }', "c:id", "select c_custkey as c from customer where (c_mktsegment = 'BUILDING' or c_mktsegment = 'MACHINERY') and c_acctbal > 5000"),
     "filter_not": ("customer", 'SELECT ?c { ?c p:c_mktsegment ?s FILTER(!(?s IN ("BUILDING", "MACHINERY"))) }', "c:id", "select c_custkey as c from customer where c_mktsegment not in ('BUILDING', 'MACHINERY')"),
-    "filter_regex": ("part", 'SELECT ?p ?n { ?p p:p_type ?n FILTER REGEX(?n, "^s.*(brass|steel)", "i") }', "p:id n:string", "select p_partkey as p, p_type as n from part where regexp_matches(p_type, '^s.*(brass|steel)', 'i')"),
+    "filter_regex": ("part", 'SELECT ?p ?n { ?p p:p_type ?n FILTER REGEX(?n, "^s.*(all|ard)$", "i") }', "p:id n:string", "select p_partkey as p, p_type as n from part where regexp_matches(p_type, '^s.*(all|ard)$', 'i')"),
     "filter_bound": ("documents labels", "SELECT ?d { ?d p:lang ?x OPTIONAL { ?l p:labels_doc_id ?d } FILTER(!BOUND(?l)) }", "doc_id=d:id", "select doc_id from documents where doc_id not in (select doc_id from labels)"),
     "cast_float": ("customer", "SELECT ?c (xsd:float(xsd:string(?b)) AS ?f) { ?c p:c_acctbal ?b }", "c:id f:.float", "select c_custkey as c, c_acctbal::float as f from customer"),
     "cast_double": ("orders", "SELECT ?o (xsd:double(?t) AS ?d) { ?o p:o_totalprice ?t }", "o:id d:.double", "select o_orderkey as o, o_totalprice as d from orders"),
