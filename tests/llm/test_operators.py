@@ -152,8 +152,24 @@ def test_setjoin_random(spark):
                     copy[int(rng.integers(0, len(copy)))] = word()
                 texts.append((n, " ".join(copy + (passage if rng.random() < 0.3 else []))))
                 n += 1
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == brute_components(texts)
+    rows, expected = spark.createDataFrame(texts, "doc_id long, text string"), brute_components(texts)
+    for rounds in (2, 0):  # without early rounds the last one finds all links
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(rows, rounds=rounds).collect()} == expected
+
+
+@pytest.mark.parametrize("n", [1, 6, 63, 64, 65, 128, 129, 511, 1024, 1025, 3000])
+def test_bitmaps_never_exceed_the_difference(n):
+    rng = np.random.default_rng(n)
+    base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    for lost, added in ((0, 0), (0, n // 7), (n // 12, n // 20), (n // 7, 0), (n // 2, n // 2)):
+        other = np.unique(np.concatenate([base[lost:], rng.integers(0, 1 << 63, added).astype(np.uint64)]))
+        small, large = sorted((base, other), key=len)
+        words, full, half = setjoin.bitmaps(np.array([setjoin.bitmap(small), setjoin.bitmap(large)], object))
+        if words[1] > 2 * words[0]:  # sizes that can't link
+            continue
+        apart = int(np.bitwise_count(full[0] ^ (full[1] if words[0] == words[1] else half[1])).sum())
+        assert apart <= len(np.setxor1d(base, other))
+        assert apart % 2 == len(np.setxor1d(base, other)) % 2  # folded rightly: parity of the difference stays
 
 
 def test_setjoin_boundary_keeps_all_links(spark):
