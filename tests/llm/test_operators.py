@@ -356,6 +356,24 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string, path string")).count() == 0
 
 
+def test_license_weights(spark):
+    """All terms weigh by their own document frequency: scores equal a plain count over all terms, whatever the number of files."""
+    line = "Licensed under the Apache License, Version 2.0 or later"
+    got = []
+    for n in (40, 400):
+        texts = [line] * (n // 10) + [f"this or that word, sooner or later, version {i}" for i in range(n - n // 10)]
+        files = spark.createDataFrame([(i, t, f"/{i}/x") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+        sets = [set(licenses.terms(t)) for t in texts]
+        weigh = lambda ws: {w: ws.count(w) * licenses.idf(n, sum(w in s for s in sets)) for w in ws}  # noqa: E731, B023
+        a = weigh(licenses.terms(line))
+        b = weigh(licenses.terms(licenses.TEMPLATES["Apache-2.0"]))
+        want = sum(x * b.get(w, 0) for w, x in a.items()) / sum(x * x for x in a.values()) ** 0.5 / sum(x * x for x in b.values()) ** 0.5
+        row = next(r for r in licenses.scan(files, threshold=0.7).collect() if r.doc_id == 0)
+        assert row.own_license == "Apache-2.0" and abs(row.own_score - want) < 1e-8
+        got.append(row.own_score)
+    assert abs(got[0] - got[1]) < 0.02
+
+
 def test_pipeline(spark):
     """Decisions of all stages on a small corpus: junk, short texts and copies go, personal data are masked, pieces add up."""
     pipeline = pytest.importorskip("corpus_pipeline")

@@ -2,8 +2,8 @@
 
 Each line of a file that shares a rare template term is a header line; its terms (lower-case runs of letters
 and digits) are weighed by count times idf and compared with each template by cosine, and so is the file as a whole, by all
-its header lines together against its length. The document frequencies of the templates' terms are counted over all
-files; a term of no template weighs as one found in a single file. A file whose header lines make up at least
+its header lines together against its length. The document frequencies of all terms are counted over all files. Lines
+that hold too little of each template to reach the threshold, whatever else is on them, aren't scored. A file whose header lines make up at least
 `file_share` of its terms is a licence file of its directory. A file without a header of its own inherits from
 the nearest directory above it, its own included, that has a licence file.
 
@@ -14,6 +14,7 @@ path; null ids and repeated rows are scanned row by row; an empty table gives no
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -67,41 +68,48 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(header)))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+    counts = files.select(F.explode(F.array_distinct(term_array(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = stored(counts, "license-df")
+    n = files.count()
+    found = {r["term"]: r["df"] for r in counts.where(F.col("term").isin(vocabulary)).collect()}  # terms of the templates only
+    weight = {v: idf(n, found.get(v, 0)) for v in vocabulary}
+    vectors = {name: {w: ws.count(w) * weight[w] for w in ws} for name, ws in words.items()}
+    sizes = {name: math.sqrt(sum(x * x for x in vector.values())) for name, vector in vectors.items()}
+
+    def possible(has: Column) -> Column:
+        """Whether the terms of a template that are there leave room for the threshold: a bound by Cauchy and Schwarz."""
+        enough = F.lit(False)
+        for name, vector in vectors.items():
+            there = sum((F.when(F.array_contains(has, w), x * x).otherwise(0.0) for w, x in vector.items()), F.lit(0.0))
+            enough = enough | (there >= (threshold * sizes[name]) ** 2 * (1 - 1e-9))
+        return enough
+
+    def candidates(lines: Column) -> Column:
+        """Those of some arrays of terms that may reach the threshold."""
+        marked = F.transform(lines, lambda x: F.struct(x.alias("terms"), F.array_distinct(F.filter(x, lambda t: t.isin(vocabulary))).alias("has")))
+        return F.filter(marked, lambda x: possible(x["has"]))["terms"]
+
     base = files.select(
         F.col(id_col).alias("_id"),
         path.alias("_path"),
         F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("_dir"),
         F.transform(lines, term_array).alias("_lines"),
         F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("_size"),
-        F.array_intersect(term_array(text), F.array(*[F.lit(v) for v in vocabulary])).alias("_has"),
     )
-    base = stored(base, "license-lines")
-    n = base.count()
-    found = {r["t"]: r["n"] for r in base.select(F.explode("_has").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # terms of the templates only
-    weight = {v: idf(n, found.get(v, 0)) for v in vocabulary}
-    other = idf(n, 1)
-    known = F.create_map(*[F.lit(x) for v in vocabulary for x in (v, weight[v])])
-
-    def cosine(line: Column) -> Column:
-        """(score, name) of the nearest template."""
-        distinct = F.array_distinct(line)
-
-        def times(t: Column) -> Column:
-            return F.size(F.filter(line, lambda x: x == t))
-
-        def weigh(t: Column) -> Column:
-            return times(t) * F.coalesce(F.try_element_at(known, t), F.lit(other))
-
-        norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda s, t: s + F.pow(weigh(t), F.lit(2.0))))
-        best = []
-        for name, ws in words.items():
-            counts = {w: ws.count(w) for w in ws}
-            size = math.sqrt(sum((c * weight[w]) ** 2 for w, c in counts.items()))
-            dot = sum((times(F.lit(w)) * F.lit(c * weight[w] * weight[w]) for w, c in counts.items()), F.lit(0.0))
-            best.append(F.struct(F.round(dot / norm / size, 9).alias("score"), F.lit(-len(best)).alias("rank"), F.lit(name).alias("name")))
-        return F.array_max(F.array(*best))
-
-    scored = base.select("_id", "_path", "_dir", "_size", F.aggregate("_lines", F.lit(0), lambda s, x: s + F.size(x)).alias("_header"), F.when(F.size("_lines") > 0, F.array_max(F.transform("_lines", cosine))).alias("_best"))
+    header_terms = F.aggregate("_lines", F.lit(0), lambda s, x: s + F.size(x)).alias("_header")
+    base = stored(base.select(F.monotonically_increasing_id().alias("_row"), "_id", "_path", "_dir", "_size", header_terms, candidates(F.col("_lines")).alias("_passages")), "license-lines")
+    terms_of = base.select("_row", F.posexplode("_passages").alias("_pos", "_terms")).select("_row", "_pos", F.explode("_terms").alias("term"))
+    terms_of = stored(terms_of.groupBy("_row", "_pos", "term").agg(F.count("*").alias("tf")), "license-terms")
+    weights = stored(counts.join(terms_of.select("term").distinct(), "term", "left_semi").select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("w")), "license-weights")
+    # the templates' vectors times the weights, as one literal
+    rows = json.dumps([{"term": v, "x": [vector.get(v, 0.0) * weight[v] for vector in vectors.values()]} for v in vocabulary])
+    parts = files.sparkSession.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<term: string, x: array<double>>>")).alias("v")).select("v.term", "v.x")
+    some = weights.count() <= broadcast_dirs
+    joined = terms_of.join(F.broadcast(weights) if some else weights, "term").join(F.broadcast(parts), "term", "left")
+    sums = joined.groupBy("_row", "_pos").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), F.lit(2.0)))).alias("norm"), *[F.sum(F.col("tf") * F.coalesce(F.col("x")[k], F.lit(0.0))).alias(f"dot{k}") for k in range(len(vectors))])
+    best = F.array_max(F.array(*[F.struct(F.round(F.col(f"dot{k}") / F.col("norm") / sizes[name], 9).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, name in enumerate(vectors)]))
+    best = stored(sums.select("_row", best.alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best")), "license-best")
+    scored = base.join(F.broadcast(best) if best.count() <= broadcast_dirs else best, "_row", "left")
     own = F.col("_best.score") >= threshold
     scored = stored(scored.select("_id", "_path", "_dir", F.when(own, F.col("_best.name")).alias("own"), F.when(own, F.col("_best.score")).alias("score"), (F.coalesce(own, F.lit(False)) & (F.col("_header") >= file_share * F.col("_size"))).alias("is_file")), "license-own")
     owners = scored.where("is_file").groupBy("_dir").agg(F.max(F.struct("score")).getField("score").alias("top"), F.min_by("own", F.struct((-F.col("score")).alias("a"), F.col("_path").alias("b"))).alias("inherited"))
