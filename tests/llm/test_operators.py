@@ -374,6 +374,23 @@ def test_license_weights(spark):
     assert abs(got[0] - got[1]) < 0.02
 
 
+def test_license_files(spark):
+    """Full licence texts, rewrapped and with a notice, are licence files; wrapped headers are found; prose is neither."""
+    texts = licenses.full_texts()
+    body = "just some source code without any header\n" * 30
+    rows = [(k, "Copyright 2020 Foo\n\n" + " ".join(texts[name].split()), f"/{name}/COPYING") for k, name in enumerate(sorted(texts))]
+    rows += [(10 + k, body, f"/{name}/src/x.py") for k, name in enumerate(sorted(texts))]
+    rows += [(20, "# This work is licensed under\n# the GNU General\n# Public License,\n# version 3.\n" + body, "/h/x.py"), (21, body, "/h/y.py"), (22, "\n\n".join(texts["MIT"].split("\n")[2:]), "/m/LICENSE"), (23, body, "/m/x.py")]
+    rows += [(30 + k, f"the work of the day and the terms of it are a matter for you {k}. " * 20, "/p/x") for k in range(30)]
+    rows += [(60, "Use of this source code is governed by a\nBSD-style license that can be found in the LICENSE file.", "/w/LICENSE"), (61, body, "/w/x.py")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    for k, name in enumerate(sorted(texts)):
+        assert (got[k].own_license, got[10 + k].own_license, got[10 + k].license) == (name, None, name)
+    assert got[20].own_license == "GPL-3.0" and got[21].license is None
+    assert got[22].own_license == "MIT" and got[23].license == "MIT" and got[60].own_license == "BSD-3-Clause" and got[61].license == "BSD-3-Clause"
+    assert all(got[30 + k].license is None for k in range(30))
+
+
 def test_pipeline(spark):
     """Decisions of all stages on a small corpus: junk, short texts and copies go, personal data are masked, pieces add up."""
     pipeline = pytest.importorskip("corpus_pipeline")

@@ -1,11 +1,12 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Each line of a file that shares a rare template term is a header line; its terms (lower-case runs of letters
-and digits) are weighed by count times idf and compared with each template by cosine, and so is the file as a whole, by all
-its header lines together against its length. The document frequencies of all terms are counted over all files. Lines
-that hold too little of each template to reach the threshold, whatever else is on them, aren't scored. A file whose header lines make up at least
-`file_share` of its terms is a licence file of its directory. A file without a header of its own inherits from
-the nearest directory above it, its own included, that has a licence file.
+Each line of a file that shares a rare template term is a header line. Passages of 1 to WRAP adjacent lines with a header
+line among them (headers may be wrapped), and the file as a whole, are compared by cosine: their terms (lower-case runs of letters
+and digits) are weighed by count times idf. Passages meet the header templates; whole files meet those and the full licence
+texts in license_texts. The document frequencies of all terms are counted over all files. What holds too little of each
+template to reach the threshold isn't scored. A file whose header lines, or whose lines of one matching passage, make up
+at least `file_share` of its terms, or that matches as a whole, is a licence file of its directory. A file without a header of
+its own inherits from the nearest directory above it, its own included, that has a licence file.
 
 Defined cases: a null or empty text has no licence of its own; a null path lies in the root directory; of equally close
 templates the first by name wins, of several licence files of a directory the one of the highest cosine, then the first by
@@ -14,8 +15,10 @@ path; null ids and repeated rows are scanned row by row; an empty table gives no
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,14 @@ TEMPLATES = {
 # Terms of which a header line has one at least.
 RARE = ["apache", "bsd", "cc", "gnu", "gpl", "licence", "licenced", "license", "licensed", "mit", "mozilla", "spdx"]
 TERM = "[^a-z0-9]+"
+#: Lines of the longest passage.
+WRAP = 4
+
+
+@functools.lru_cache(maxsize=1)
+def full_texts() -> dict[str, str]:
+    """Full licence texts by SPDX identifier, read by the driver."""
+    return {p.stem: p.read_text() for p in (Path(__file__).parent / "license_texts").glob("*.txt")}
 
 
 def terms(text: str) -> list[str]:
@@ -58,60 +69,113 @@ def idf(n: int, df: int) -> float:
     return math.log((n + 1) / (df + 1)) + 1
 
 
-def scan(files: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", templates: dict[str, str] | None = None, threshold: float = 0.75, file_share: float = 0.5, broadcast_dirs: int = 100_000) -> DataFrame:
+def scan(files: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", templates: dict[str, str] | None = None, whole_texts: dict[str, str] | None = None, threshold: float = 0.75, file_share: float = 0.5, broadcast_dirs: int = 100_000) -> DataFrame:
     """One row per row: id, own_license, own_score, inherited_license, license_dir, license (own, else inherited)."""
-    templates = templates or TEMPLATES
-    words = {name: terms(text) for name, text in sorted(templates.items())}
-    vocabulary = sorted({w for ws in words.values() for w in ws})
+    # headers first, then full texts, which meet whole files only
+    headers = [(name, terms(text)) for name, text in sorted((templates or TEMPLATES).items())]
+    known = headers + [(name, terms(text)) for name, text in sorted((full_texts() if whole_texts is None else whole_texts).items())]
+    vocabulary = sorted({w for _, ws in known for w in ws})
     # a header line has one of the rare terms as a whole term
     header = "(?i)(?<![a-z0-9])(?:" + "|".join(RARE) + ")(?![a-z0-9])"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(header)))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     counts = files.select(F.explode(F.array_distinct(term_array(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     counts = stored(counts, "license-df")
     n = files.count()
     found = {r["term"]: r["df"] for r in counts.where(F.col("term").isin(vocabulary)).collect()}  # terms of the templates only
     weight = {v: idf(n, found.get(v, 0)) for v in vocabulary}
-    vectors = {name: {w: ws.count(w) * weight[w] for w in ws} for name, ws in words.items()}
-    sizes = {name: math.sqrt(sum(x * x for x in vector.values())) for name, vector in vectors.items()}
-
-    def possible(has: Column) -> Column:
-        """Whether the terms of a template that are there leave room for the threshold: a bound by Cauchy and Schwarz."""
-        enough = F.lit(False)
-        for name, vector in vectors.items():
-            there = sum((F.when(F.array_contains(has, w), x * x).otherwise(0.0) for w, x in vector.items()), F.lit(0.0))
-            enough = enough | (there >= (threshold * sizes[name]) ** 2 * (1 - 1e-9))
-        return enough
-
-    def candidates(lines: Column) -> Column:
-        """Those of some arrays of terms that may reach the threshold."""
-        marked = F.transform(lines, lambda x: F.struct(x.alias("terms"), F.array_distinct(F.filter(x, lambda t: t.isin(vocabulary))).alias("has")))
-        return F.filter(marked, lambda x: possible(x["has"]))["terms"]
+    vectors = [{w: ws.count(w) * weight[w] for w in set(ws)} for _, ws in known]
+    sizes = [math.sqrt(sum(x * x for x in vector.values())) for vector in vectors]
+    slack = 1 - 1e-9
+
+    def there(has: Column, vector: dict[str, float]) -> Column:
+        return sum((F.when(F.array_contains(has, w), x * x).otherwise(0.0) for w, x in sorted(vector.items())), F.lit(0.0))
+
+    # Bounds for passages. By Cauchy and Schwarz the template's terms that are there must hold enough of its norm; then each
+    # further term weighs 1 at least.
+    heads = sorted({w for _, ws in headers for w in ws})
+
+    def enough(has: Column) -> Column:
+        return functools.reduce(Column.__or__, [there(has, v) >= (threshold * size) ** 2 * slack for v, size in zip(vectors[: len(headers)], sizes, strict=False)])
+
+    def short_enough(x: Column) -> Column:
+        """x: counts of the header templates' terms, and n, the number of all terms."""
+        times = {w: x["counts"][k] for k, w in enumerate(heads)}
+        norm = F.sqrt(sum((F.pow(times[w] * weight[w], F.lit(2.0)) for w in heads), F.lit(0.0)) + x["n"] - F.aggregate(x["counts"], F.lit(0), lambda s, c: s + c))
+        return functools.reduce(Column.__or__, [sum((times[w] * (y * weight[w]) for w, y in sorted(v.items())), F.lit(0.0)) >= norm * (threshold * size * slack) for v, size in zip(vectors[: len(headers)], sizes, strict=False)])
+
+    # The same for full texts, by each one's heaviest terms; the others may all be there.
+    heavy = []
+    for vector, size in zip(vectors[len(headers) :], sizes[len(headers) :], strict=True):
+        taken, rest = {}, size * size
+        for w, x in sorted(vector.items(), key=lambda y: (-y[1], y[0])):
+            if rest <= 0.2 * size * size:
+                break
+            taken[w], rest = x, rest - x * x
+        heavy.append((taken, (threshold * size) ** 2 * slack - rest))
+    strong = sorted({w for taken, _ in heavy for w in taken})
+
+    def like_full_text(words: Column) -> Column:
+        if not heavy:
+            return F.lit(False)
+        has = F.array(F.array_distinct(F.filter(words, lambda t: t.isin(strong))))
+        return F.exists(has, lambda h: functools.reduce(Column.__or__, [there(h, taken) >= least for taken, least in heavy]))
+
+    def count(words: Column, word: str) -> Column:
+        return F.size(F.filter(words, lambda t: t == word))
+
+    def passages(lines: Column, words: Column) -> Column:
+        """Those of the passages, and the whole file, that may reach the threshold with a header template."""
+        whole = F.struct(F.lit(True).alias("whole"), words.alias("terms"), F.filter(words, lambda t: t.isin(heads)).alias("known"))
+
+        def passage(i: Column, k: int) -> Column:
+            part = F.slice(lines, i, k)
+            fits = (i + (k - 1) <= F.size(lines)) & F.exists(part, lambda x: x["header"])
+            return F.when(fits, F.struct(F.lit(False).alias("whole"), F.flatten(part["terms"]).alias("terms"), F.flatten(part["known"]).alias("known")))
+
+        runs = F.when(F.size(lines) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array(*[passage(i, k) for k in range(1, WRAP + 1)]))))
+        some = F.filter(F.concat(F.array(whole), F.coalesce(runs, F.array().cast("array<struct<whole: boolean, terms: array<string>, known: array<string>>>"))), lambda x: x.isNotNull())
+        some = F.filter(some, lambda x: F.exists(F.array(F.array_distinct(x["known"])), enough))
+        counted = F.transform(some, lambda x: F.struct(x["whole"].alias("whole"), x["terms"].alias("terms"), F.size(x["terms"]).alias("n"), F.array(*[count(x["known"], w) for w in heads]).alias("counts")))
+        return F.transform(F.filter(counted, short_enough), lambda x: F.struct(x["whole"].alias("whole"), x["terms"].alias("terms")))
+
+    def line(x: Column) -> Column:
+        words = term_array(x)
+        return F.struct(F.regexp_like(x, F.lit(header)).alias("header"), words.alias("terms"), F.filter(words, lambda t: t.isin(heads)).alias("known"))
 
     base = files.select(
         F.col(id_col).alias("_id"),
         path.alias("_path"),
         F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("_dir"),
-        F.transform(lines, term_array).alias("_lines"),
-        F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("_size"),
+        term_array(text).alias("_words"),
+        F.when(F.regexp_like(text, F.lit(header)), F.transform(F.split(text, "\n"), line)).alias("_lines"),
     )
-    header_terms = F.aggregate("_lines", F.lit(0), lambda s, x: s + F.size(x)).alias("_header")
-    base = stored(base.select(F.monotonically_increasing_id().alias("_row"), "_id", "_path", "_dir", "_size", header_terms, candidates(F.col("_lines")).alias("_passages")), "license-lines")
-    terms_of = base.select("_row", F.posexplode("_passages").alias("_pos", "_terms")).select("_row", "_pos", F.explode("_terms").alias("term"))
-    terms_of = stored(terms_of.groupBy("_row", "_pos", "term").agg(F.count("*").alias("tf")), "license-terms")
+    header_terms = F.coalesce(F.aggregate("_lines", F.lit(0), lambda s, x: s + F.when(x["header"], F.size(x["terms"])).otherwise(0)), F.lit(0))
+    full = F.when(like_full_text(F.col("_words")), F.array(F.struct(F.lit(True).alias("whole"), F.col("_words").alias("terms"))))
+    base = base.select(F.monotonically_increasing_id().alias("_row"), "_id", "_path", "_dir", F.size("_words").alias("_size"), header_terms.alias("_header"), F.coalesce(full, F.array().cast("array<struct<whole: boolean, terms: array<string>>>")).alias("_full"), passages(F.col("_lines"), F.col("_words")).alias("_some"))
+    base = base.select("_row", "_id", "_path", "_dir", "_size", "_header", F.concat("_full", "_some").alias("_passages"))
+    base = stored(base, "license-lines")
+    terms_of = base.select("_row", F.posexplode("_passages").alias("_pos", "_p")).select("_row", "_pos", "_p.whole", F.explode("_p.terms").alias("term"))
+    terms_of = stored(terms_of.groupBy("_row", "_pos", "whole", "term").agg(F.count("*").alias("tf")), "license-terms")
     weights = stored(counts.join(terms_of.select("term").distinct(), "term", "left_semi").select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("w")), "license-weights")
     # the templates' vectors times the weights, as one literal
-    rows = json.dumps([{"term": v, "x": [vector.get(v, 0.0) * weight[v] for vector in vectors.values()]} for v in vocabulary])
+    rows = json.dumps([{"term": v, "x": [vector.get(v, 0.0) * weight[v] for vector in vectors]} for v in vocabulary])
     parts = files.sparkSession.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<term: string, x: array<double>>>")).alias("v")).select("v.term", "v.x")
     some = weights.count() <= broadcast_dirs
     joined = terms_of.join(F.broadcast(weights) if some else weights, "term").join(F.broadcast(parts), "term", "left")
-    sums = joined.groupBy("_row", "_pos").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), F.lit(2.0)))).alias("norm"), *[F.sum(F.col("tf") * F.coalesce(F.col("x")[k], F.lit(0.0))).alias(f"dot{k}") for k in range(len(vectors))])
-    best = F.array_max(F.array(*[F.struct(F.round(F.col(f"dot{k}") / F.col("norm") / sizes[name], 9).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, name in enumerate(vectors)]))
-    best = stored(sums.select("_row", best.alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best")), "license-best")
+    sums = joined.groupBy("_row", "_pos", "whole").agg(F.sum("tf").alias("_span"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("w"), F.lit(2.0)))).alias("norm"), *[F.sum(F.col("tf") * F.coalesce(F.col("x")[k], F.lit(0.0))).alias(f"dot{k}") for k in range(len(known))])
+
+    def score(k: int) -> Column:
+        cosine = F.round(F.col(f"dot{k}") / F.col("norm") / sizes[k], 9)
+        return cosine if k < len(headers) else F.when(F.col("whole"), cosine)
+
+    order = {name: -k for k, name in enumerate(sorted({name for name, _ in known}))}
+    best = F.array_max(F.array(*[F.struct(score(k).alias("score"), F.lit(order[name]).alias("rank"), F.lit(name).alias("name")) for k, (name, _) in enumerate(known)]))
+    best = sums.select("_row", "_span", best.alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"), F.max(F.when(F.col("_best.score") >= threshold, F.col("_span"))).alias("_span"))
+    best = stored(best, "license-best")
     scored = base.join(F.broadcast(best) if best.count() <= broadcast_dirs else best, "_row", "left")
     own = F.col("_best.score") >= threshold
-    scored = stored(scored.select("_id", "_path", "_dir", F.when(own, F.col("_best.name")).alias("own"), F.when(own, F.col("_best.score")).alias("score"), (F.coalesce(own, F.lit(False)) & (F.col("_header") >= file_share * F.col("_size"))).alias("is_file")), "license-own")
+    scored = stored(scored.select("_id", "_path", "_dir", F.when(own, F.col("_best.name")).alias("own"), F.when(own, F.col("_best.score")).alias("score"), (F.coalesce(own, F.lit(False)) & (F.greatest("_header", "_span") >= file_share * F.col("_size"))).alias("is_file")), "license-own")
     owners = scored.where("is_file").groupBy("_dir").agg(F.max(F.struct("score")).getField("score").alias("top"), F.min_by("own", F.struct((-F.col("score")).alias("a"), F.col("_path").alias("b"))).alias("inherited"))
     owners = stored(owners.select(F.col("_dir").alias("above"), "inherited"), "license-dirs")
     # each distinct directory looks up itself and those above it
