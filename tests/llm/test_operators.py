@@ -356,6 +356,21 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string, path string")).count() == 0
 
 
+def test_tagger_skips_nothing(monkeypatch):
+    """Addresses without a digit or at sign are found, and leaving windows out gives what all windows give."""
+    net = pii.train()
+    text = "write to jane [at] firm [dot] org about it"
+    assert [text[s:e] for _, s, e in pii.added_spans(net, [text], [[]])[0]] == ["jane [at] firm [dot] org"]
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghilmnoprstu"), int(rng.integers(2, 9))))
+    item = lambda: [word(), word(), word(), word(), f"{word()} [at] {word()} [dot] org", f"{word()}_{word()}_{word()}_{word()}_{word()}_{word()}_{word()}@{word()}.org", "(555) 123-4567", f"{word()} (at) {word()}.org", f"{word()}.{word()}.{word()}.{word()}.{word()} [at] {word()}.{word()}.org"][int(rng.integers(9))]
+    batch = [" ".join(item() for _ in range(int(rng.integers(1, 120)))) for _ in range(60)]
+    bases = [pii.base_spans(t) for t in batch]
+    got = pii.added_spans(net, batch, bases)
+    monkeypatch.setattr(pii, "windows", lambda t: [k * pii.STRIDE for k in range(pii.last_window(t) + 1)])
+    assert got == pii.added_spans(net, batch, bases) and sum(map(len, got)) > 20
+
+
 def test_license_weights(spark):
     """All terms weigh by their own document frequency: scores equal a plain count over all terms, whatever the number of files."""
     line = "Licensed under the Apache License, Version 2.0 or later"

@@ -5,8 +5,9 @@ such as phone numbers without a plus sign; base spans stay. It is trained from l
 generator writes: foreign-looking prose with personal data in many spellings (labelled), and with numbers, versions, keys
 and hashes (not labelled). Training data don't depend on the corpus, so the driver trains once and tasks get the weights.
 
-A text is covered by overlapping windows. Personal data hold a digit or an at sign, so a window without either
-is decoded as empty without a run of the network. Each window's best path comes from the CRF (Viterbi). Then the
+A text is covered by overlapping windows. What counts as personal data holds a digit, an at sign or [at] or (at), so the network
+runs on windows with a part of one, and then on each window that meets a span found, until there is no more: the other
+windows can't change the result. Each window's best path comes from the CRF (Viterbi). Then the
 whole text is reconciled: spans of one kind that overlap in neighbouring windows are joined, of conflicting
 kinds the set of greatest total score stays, and what overlaps a base span or isn't plausible for its kind goes.
 
@@ -37,7 +38,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ANCHOR = re.compile(r"[0-9@]")
+#: Each span that `plausible` accepts holds one of these; the longest has MARK characters.
+ANCHOR, MARK = re.compile(r"[0-9@]|\[at\]|\(at\)"), 4
 DIGITS = str.maketrans("", "", " -().+")
 
 WINDOW, STRIDE, TAGS = 80, 40, 1 + len(KINDS)
@@ -264,16 +266,20 @@ def train(seed: int = 11, steps: int = 420, batch: int = 48, hidden: int = 16, e
     return net()
 
 
+def last_window(text: str) -> int:
+    return max(0, -(-(len(text) - WINDOW) // STRIDE))
+
+
 def windows(text: str) -> list[int]:
-    """Starts of the windows that hold an anchor; windows lie STRIDE apart and cover the text."""
+    """Starts of the windows that hold an anchor or a part of one; windows lie STRIDE apart and cover the text."""
     out: list[int] = []
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    last = last_window(text)
     m = ANCHOR.search(text)
     while m:
-        low, high = max(0, -(-(m.start() - WINDOW + 1) // STRIDE)), min(last, m.start() // STRIDE)
+        low, high = max(0, -(-(m.start() - WINDOW + 1) // STRIDE)), min(last, (m.end() - 1) // STRIDE)
         out += range(max(low, out[-1] + 1) if out else low, high + 1)
-        # the windows up to `high` are in; the next anchor that matters lies in one after it
-        m = ANCHOR.search(text, (high + 1) * STRIDE) if high < last else None
+        # the windows up to `high` are in; the next anchor that matters reaches into one after it
+        m = ANCHOR.search(text, max(m.start() + 1, (high + 1) * STRIDE - MARK + 1)) if high < last else None
     return [k * STRIDE for k in out]
 
 
@@ -319,20 +325,29 @@ def reconcile(text: str, found: list[tuple[int, int, int, float]], base: list[tu
 def added_spans(net: Tagger, batch: list[str], bases: list[list[tuple[int, int, int]]], group: int = 512) -> list[list[tuple[int, int, int]]]:
     """For each text, the model's spans beyond the base ones."""
     jobs = [(k, s) for k, t in enumerate(batch) for s in windows(t)]
+    seen = set(jobs)
     found: list[list] = [[] for _ in batch]
-    for at in range(0, len(jobs), group):
-        part = jobs[at : at + group]
-        x = np.full((WINDOW, len(part)), 10)
-        for b, (k, s) in enumerate(part):
-            c = codes(batch[k][s : s + WINDOW])
-            x[: len(c), b] = c
-        tags, margin = viterbi(net, emissions(net, x))
-        for b in np.flatnonzero(tags.any(axis=0)):
-            k, s = part[b]
-            t, edges = tags[:, b], np.flatnonzero(np.diff(np.concatenate([[0], tags[:, b], [0]])))
-            for u, v in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if t[u]:
-                    found[k].append((int(t[u]) - 1, s + u, min(s + v, len(batch[k])), float(margin[u:v, b].sum())))
+    while jobs:
+        more: list[tuple[int, int]] = []
+        for at in range(0, len(jobs), group):
+            part = jobs[at : at + group]
+            x = np.full((WINDOW, len(part)), 10)
+            for b, (k, s) in enumerate(part):
+                c = codes(batch[k][s : s + WINDOW])
+                x[: len(c), b] = c
+            tags, margin = viterbi(net, emissions(net, x))
+            for b in np.flatnonzero(tags.any(axis=0)):
+                k, s = part[b]
+                t, edges = tags[:, b], np.flatnonzero(np.diff(np.concatenate([[0], tags[:, b], [0]])))
+                for u, v in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if t[u]:
+                        start, end = s + u, min(s + v, len(batch[k]))
+                        found[k].append((int(t[u]) - 1, start, end, float(margin[u:v, b].sum())))
+                        # all windows that the span overlaps or touches
+                        near = range(max(0, -(-(start - WINDOW) // STRIDE)), min(last_window(batch[k]), end // STRIDE) + 1)
+                        more += [(k, w * STRIDE) for w in near if (k, w * STRIDE) not in seen]
+                        seen.update((k, w * STRIDE) for w in near)
+        jobs = more
     return [reconcile(t, f, base) if f else [] for t, f, base in zip(batch, found, bases, strict=True)]
 
 
