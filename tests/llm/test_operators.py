@@ -223,6 +223,22 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies():
+    """Copies of an article, equal or nearly so, keep it; notices on many distinct articles go."""
+    own = lambda k, j: " ".join(f"w{k}x{j}x{i}" for i in range(20))
+    notice = "please accept that this site sets cookies and keeps them for a year"
+    copy = "".join(f"<p>{own('c', j)}</p>" for j in range(4))
+    text = "\n".join(own("c", j) for j in range(4))
+    assert html_text.main_texts([f"<article>{copy}</article>"] * 20) == [text] * 20
+    near = html_text.main_texts([f"<article>{copy}<p>changed {k} here</p></article>" for k in range(20)])
+    assert near == [f"{text}\nchanged {k} here" for k in range(20)]
+    assert html_text.main_texts([f"<div>{copy}</div>"] * 2) == [text] * 2
+    got = html_text.main_texts([f"<article><p>{own(k, 0)}</p><p>{notice}</p><p>{own(k, 1)}</p></article>" for k in range(20)])
+    assert got == [f"{own(k, 0)}\n{own(k, 1)}" for k in range(20)]
+    # headings shared by pages without a main zone stay
+    assert html_text.main_texts([f"<h2>A heading</h2><div>{own(k, 0)}</div>" for k in range(3)]) == [f"A heading\n{own(k, 0)}" for k in range(3)]
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 3, 200)

@@ -6,18 +6,20 @@ with a mark of its own after each block, and their suffixes sorted by the first
 numpy). Neighbours that agree are long substrings; those found on several pages cover boilerplate.
 
 Chrome goes. On pages with a main zone its blocks stay, but for such as are covered through and through by substrings found
-on most of the host's pages (notices set into the article). On other pages the plain blocks stay, without
-the runs covered on two pages or more: the unique runs are kept.
+on most of the host's pages (notices set into the article), unless they hold half of the article's tokens or more: then the
+page is one of many copies and keeps all. On other pages the plain blocks stay, without the runs covered on two pages or
+more: the unique runs are kept; if there are none, all stays. Pages of equal articles count as one page throughout.
 
 Large hosts are dealt to groups of about GROUP_BYTES by a hash of the page, so a hot host is no single task; what a host
 repeats on most pages repeats in each group.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; null ids and repeated rows are
-extracted row by row (equal pages of one id don't count as several); an empty table gives no rows; further columns are ignored.
+extracted row by row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from .runtime import arrow_schema, ddl, texts
 
 #: Tokens of the shortest substring that counts, as a power of two; bytes of html in a group of pages.
 SPAN, GROUP_BYTES = 8, 6_000_000
-#: A block of the main zone is a notice if found on so large a share of a group's pages, and on so many.
+#: A block of the main zone is a notice if found in so large a share of a group's articles, and in so many.
 MOST, MANY = 0.6, 12
 
 # Element names and words of class, id and role.
@@ -136,15 +138,21 @@ def suffix_order(tokens: np.ndarray) -> np.ndarray:
     return rank
 
 
-def coverage(pages: list[list[str]], ids: list) -> list[list[np.ndarray]]:
-    """For each page and block, on how many distinct pages the longest-lived substring over each token stands (0: none
-    of SPAN tokens; a block shorter than SPAN is one substring by itself)."""
+def article(page: list[tuple[str, str]]) -> int:
+    """Identity of a page's article: a hash of its main zone, else of its plain blocks; 0 if there are none."""
+    text = [t for z, t in page if z == "main"] or [t for _, t in page]
+    return int.from_bytes(hashlib.blake2b("\n".join(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if text else 0
+
+
+def coverage(pages: list[list[str]], ids: list[int]) -> list[list[np.ndarray]]:
+    """For each page and block, on how many distinct articles (ids) the longest-lived substring over each token stands (0: none
+    of SPAN tokens)."""
     seen: dict[str, int] = {}
     tokens: list[int] = []
     owner, shape, mark = [], [], -2
-    key: dict = {}
+    key: dict[int, int] = {}
     for k, bs in enumerate(pages):
-        page = key.setdefault(ids[k] if ids[k] is not None else (k,), len(key))
+        page = key.setdefault(ids[k], len(key))
         for b in bs:
             words = [seen.setdefault(w, len(seen)) for w in b.split()]
             pad = max(1, SPAN - len(words))  # short blocks are filled up by one common mark
@@ -179,21 +187,23 @@ def coverage(pages: list[list[str]], ids: list) -> list[list[np.ndarray]]:
     return out
 
 
-def main_texts(pages: list[str], ids: list) -> list[str]:
+def main_text(page: list[tuple[str, str]], cover: list[np.ndarray], articles: int) -> str:
+    """Main text of a page without chrome, on a host of so many distinct articles."""
+    if any(z == "main" for z, _ in page):
+        notice = max(MANY, MOST * articles)
+        main = [(t, len(c), len(c) > 0 and c.min() >= notice) for (z, t), c in zip(page, cover, strict=True) if z == "main"]
+        copy = 2 * sum(n for _, n, gone in main if gone) >= sum(n for _, n, _ in main)
+        return "\n".join(t for t, _, gone in main if copy or not gone)
+    lines = [" ".join(w for w, x in zip(t.split(), c.tolist(), strict=True) if not x) for (_, t), c in zip(page, cover, strict=True)]
+    return "\n".join(x for x in lines if x) or "\n".join(t for _, t in page)
+
+
+def main_texts(pages: list[str]) -> list[str]:
     """Main text of each page of one group of a host."""
-    parsed = [blocks(p) for p in pages]
-    kept = [[x for x in b if x[0] != "chrome"] for b in parsed]
+    kept = [[x for x in blocks(p) if x[0] != "chrome"] for p in pages]
+    ids = [article(b) for b in kept]
     covers = coverage([[t for _, t in b] for b in kept], ids)
-    n = len({i if i is not None else (k,) for k, i in enumerate(ids)})
-    notice = max(MANY, MOST * n)
-    out = []
-    for b, cover in zip(kept, covers, strict=True):
-        if any(z == "main" for z, _ in b):
-            lines = [t for (z, t), c in zip(b, cover, strict=True) if z == "main" and not (len(c) and c.min() >= notice)]
-        else:
-            lines = [" ".join(w for w, x in zip(t.split(), c.tolist(), strict=True) if not x) for (_, t), c in zip(b, cover, strict=True)]
-        out.append("\n".join(x for x in lines if x))
-    return out
+    return [main_text(b, cover, len(set(ids) - {0})) for b, cover in zip(kept, covers, strict=True)]
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
@@ -211,7 +221,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     schema = arrow_schema(page_id="long", url="string", text="string", n_chars="long")
 
     def run(table: pa.Table) -> pa.Table:
-        got = main_texts(texts(table.column("html")), table.column("page_id").to_pylist())
+        got = main_texts(texts(table.column("html")))
         return pa.table([table.column("page_id"), table.column("url"), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], schema=schema)
 
     return rows.select("page_id", "url", "html", "host", "part").groupBy("host", "part").applyInArrow(run, ddl(schema))
