@@ -239,6 +239,20 @@ def test_html_copies():
     assert html_text.main_texts([f"<h2>A heading</h2><div>{own(k, 0)}</div>" for k in range(3)]) == [f"A heading\n{own(k, 0)}" for k in range(3)]
 
 
+def test_html_large_hosts(spark, monkeypatch):
+    """A host over GROUP_BYTES gives the same texts as in one group: repeats are found wherever its pages lie."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcde"), 4))
+    pool = [" ".join(word() for _ in range(int(rng.integers(3, 30)))) for _ in range(30)]
+    rows = [(None if k % 17 == 0 else k // 2 if k % 13 == 0 else k, f"http://{'a' if k % 5 else 'b'}.example/{k}", None if k == 7 else "".join(f"<p>{pool[int(rng.integers(30))] if rng.random() < 0.3 else ' '.join(word() for _ in range(12))}</p>" for _ in range(4)).join(["<article><p>the notice that stands on each page of this host in full length</p>", "</article>"] if k % 3 else ["<div>", "</div>"])) for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = sorted(map(str, html_text.extract(df).collect()))
+    for size in (20_000, 3_000):
+        monkeypatch.setattr(html_text, "GROUP_BYTES", size)
+        assert sorted(map(str, html_text.extract(df).collect())) == want
+    assert sum("notice" in x for x in want) < 20 < len(want) == 90
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 3, 200)

@@ -10,8 +10,9 @@ on most of the host's pages (notices set into the article), unless they hold hal
 page is one of many copies and keeps all. On other pages the plain blocks stay, without the runs covered on two pages or
 more: the unique runs are kept; if there are none, all stays. Pages of equal articles count as one page throughout.
 
-Large hosts are dealt to groups of about GROUP_BYTES by a hash of the page, so a hot host is no single task; what a host
-repeats on most pages repeats in each group.
+Pages are parsed once and what isn't chrome is stored. A host of up to GROUP_BYTES of it is one task's suffix array. On a larger
+host the substrings of SPAN tokens are dealt by their 64-bit hash to buckets, counted there over all of the host's
+articles, and the repeated ones go back to their pages; the texts are the same as from one array.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; null ids and repeated rows are
 extracted row by row; an empty table gives no rows; further columns are ignored.
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, texts
+from .runtime import arrow_schema, ddl, small_batches, stored, texts
 
-#: Tokens of the shortest substring that counts, as a power of two; bytes of html in a group of pages.
+#: Tokens of the shortest substring that counts, as a power of two; bytes of kept text of a host in one task or bucket.
 SPAN, GROUP_BYTES = 8, 6_000_000
 #: A block of the main zone is a notice if found in so large a share of a group's articles, and in so many.
 MOST, MANY = 0.6, 12
@@ -198,30 +199,159 @@ def main_text(page: list[tuple[str, str]], cover: list[np.ndarray], articles: in
     return "\n".join(x for x in lines if x) or "\n".join(t for _, t in page)
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """Main text of each page of one group of a host."""
-    kept = [[x for x in blocks(p) if x[0] != "chrome"] for p in pages]
+def page_blocks(html: str) -> list[tuple[str, str]]:
+    return [x for x in blocks(html) if x[0] != "chrome"]
+
+
+def array_texts(kept: list[list[tuple[str, str]]]) -> list[str]:
+    """Main text of each page of a host, by one suffix array."""
     ids = [article(b) for b in kept]
     covers = coverage([[t for _, t in b] for b in kept], ids)
     return [main_text(b, cover, len(set(ids) - {0})) for b, cover in zip(kept, covers, strict=True)]
 
 
+def main_texts(pages: list[str]) -> list[str]:
+    return array_texts([page_blocks(p) for p in pages])
+
+
+def packed(kept: list[tuple[str, str]]) -> str:
+    """Blocks as lines, the zone's first letter in front; a block has no line feed of its own."""
+    return "\n".join(z[0] + t for z, t in kept)
+
+
+def unpacked(text: str) -> list[tuple[str, str]]:
+    return [("main" if x[0] == "m" else "plain", x[1:]) for x in text.split("\n")] if text else []
+
+
+def window_hashes(text: str, known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each SPAN tokens of a block in a row; known keeps the tokens' own."""
+    words = text.split()
+    if len(words) < SPAN:
+        return np.empty(0, np.uint64)
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    token = np.array([known[w] for w in words], np.uint64)
+    n = len(words) - SPAN + 1
+    out = np.zeros(n, np.uint64)
+    for s in range(SPAN):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + token[s : s + n]
+    return out ^ (out >> np.uint64(32))
+
+
+def host_counts(hashes: np.ndarray, articles: np.ndarray) -> np.ndarray:
+    """For each (hash, article), in how many distinct articles the hash stands."""
+    order = np.lexsort((articles, hashes))
+    h, a = hashes[order], articles[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.flatnonzero(fresh)
+    distinct = np.add.reduceat((fresh | np.concatenate([[True], a[1:] != a[:-1]])).astype(np.int64), first)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.repeat(distinct, np.diff(np.append(first, len(h))))
+    return out
+
+
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Substrings of large hosts' pages, one row per host and bucket in a batch: hashes, rows and articles as bytes."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        hosts: dict[str, list] = {}
+        for row, host, groups, art, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            found = [window_hashes(t, known) for _, t in unpacked(text)]
+            h = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+            hosts.setdefault(host, []).append((groups, h, np.full(len(h), row, np.int64), np.full(len(h), art, np.int64)))
+        out: list[tuple] = []
+        for host, pages in hosts.items():
+            h, r, a = (np.concatenate([p[k] for p in pages]) for k in (1, 2, 3))
+            bucket = (h % np.uint64(pages[0][0])).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            out += [(host, int(bucket[part[0]]), h[part].tobytes(), r[part].tobytes(), a[part].tobytes()) for part in np.split(order, cuts) if len(part)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t.type) for k, t in enumerate(DEALT)], schema=DEALT)
+
+
+def count(table: pa.Table) -> pa.Table:
+    """The repeated substrings of a bucket, one row per page that has some: hashes and counts as bytes."""
+    h, r, a = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in (("h", np.uint64), ("r", np.int64), ("a", np.int64)))
+    n = host_counts(h, a)
+    some = np.flatnonzero(n > 1)
+    some = some[np.argsort(r[some], kind="stable")]
+    parts = [x for x in np.split(some, np.flatnonzero(np.diff(r[some])) + 1) if len(x)]
+    return pa.table([pa.array([int(r[x[0]]) for x in parts], pa.int64()), pa.array([h[x].tobytes() for x in parts], pa.binary()), pa.array([n[x].tobytes() for x in parts], pa.binary())], schema=COUNTED)
+
+
+def counted_text(text: str, hashes: bytes, counts: bytes, articles: int, known: dict[str, int]) -> str:
+    """Main text of a page whose repeated substrings were counted over the host."""
+    h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    page, covers = unpacked(text), []
+    for _, t in page:
+        w = window_hashes(t, known)
+        at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
+        starts = np.where(h[at] == w, n[at], 0) if len(h) else np.zeros(len(w), np.int64)
+        cover = np.zeros(len(t.split()), np.int64)
+        if len(w):
+            for s in range(SPAN):
+                np.maximum(cover[s : s + len(w)], starts, out=cover[s : s + len(w)])
+        covers.append(cover)
+    return main_text(page, covers, articles)
+
+
+PARSED = arrow_schema(page_id="long", url="string", host="string", article="long", kept="string")
+DEALT = arrow_schema(host="string", bucket="long", h="binary", r="binary", a="binary")
+COUNTED = arrow_schema(row="long", h="binary", n="binary")
+EXTRACTED = arrow_schema(page_id="long", url="string", text="string", n_chars="long")
+
+
+def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [page_blocks(x) for x in texts(batch.column(3))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([article(b) for b in kept], pa.int64()), pa.array([packed(b) for b in kept], pa.string())], schema=PARSED)
+
+
+def results(page_id: pa.Array, url: pa.Array, got: list[str]) -> list:
+    return [page_id, url, pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())]
+
+
+def whole_host(table: pa.Table) -> pa.Table:
+    got = array_texts([unpacked(x) for x in table.column("kept").to_pylist()])
+    return pa.table(results(table.column("page_id"), table.column("url"), got), schema=EXTRACTED)
+
+
+def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        got = [counted_text(t, b"".join(h or []), b"".join(n or []), k, known) for t, k, h, n in zip(*[batch.column(c).to_pylist() for c in ("kept", "articles", "h", "n")], strict=True)]
+        yield pa.RecordBatch.from_arrays(results(batch.column("page_id"), batch.column("url"), got), schema=EXTRACTED)
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
-    spark = pages.sparkSession
+    small_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 100) / GROUP_BYTES).cast("int").alias("groups"))
-    large = sizes.where("groups > 1").withColumnRenamed("host", "big")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    rows = stored(rows.mapInArrow(parse, ddl(PARSED)).select(F.monotonically_increasing_id().alias("row"), "*"), "html-blocks")
+    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("kept") + 100) / GROUP_BYTES).cast("long").alias("groups"))
+    large = sizes.where("groups > 1").select(F.col("host").alias("big"), "groups")
     # hosts of more than one group: at most one for GROUP_BYTES of input; broadcast only if counted to be few
     n = large.count()
-    large = F.broadcast(large) if n <= broadcast_hosts else large
-    rows = rows.join(large, F.col("host") == F.col("big"), "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    schema = arrow_schema(page_id="long", url="string", text="string", n_chars="long")
-
-    def run(table: pa.Table) -> pa.Table:
-        got = main_texts(texts(table.column("html")))
-        return pa.table([table.column("page_id"), table.column("url"), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], schema=schema)
-
-    return rows.select("page_id", "url", "html", "host", "part").groupBy("host", "part").applyInArrow(run, ddl(schema))
+    if n == 0:
+        return rows.select("page_id", "url", "kept", "host").groupBy("host").applyInArrow(whole_host, ddl(EXTRACTED))
+    large = stored(large, "html-hosts")
+    few = F.broadcast(large) if n <= broadcast_hosts else large
+    match = F.col("host") == F.col("big")
+    small = rows.join(few, match, "left_anti").select("page_id", "url", "kept", "host").groupBy("host").applyInArrow(whole_host, ddl(EXTRACTED))
+    rest = rows.join(few, match)
+    articles = rest.where("article <> 0").select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    articles = articles.withColumnRenamed("host", "of")
+    articles = F.broadcast(articles) if n <= broadcast_hosts else articles
+    dealt = rest.select("row", "host", "groups", "article", "kept").mapInArrow(deal, ddl(DEALT))
+    found = dealt.groupBy("host", "bucket").applyInArrow(count, ddl(COUNTED))
+    found = found.groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("found")).select("row", F.col("found.h").alias("h"), F.col("found.n").alias("n"))
+    rest = rest.join(articles, F.col("host") == F.col("of"), "left").join(found, "row", "left")
+    rest = rest.select("page_id", "url", "kept", F.coalesce("articles", F.lit(0)).alias("articles"), "h", "n")
+    return small.unionByName(rest.mapInArrow(decide, ddl(EXTRACTED)))
