@@ -27,16 +27,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: that with the group's smallest id. Of rows with one id, one stays."""
-    found = stored(setjoin.jaccard_components(docs, size=4, percent=85), "groups")
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    # rows that share an id are rare: only they are shuffled by it
-    twice = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    one = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(one)
+    """Keep one row of each group: that with the group's smallest id (null ids last), of several with it the first."""
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = setjoin.jaccard_components(keyed, id_col="_row", size=4, percent=85)
+    found = stored(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    # only rows of groups of several are shuffled
+    several = found.where("_group <> _row").select("_group").distinct()
+    members = found.join(several, "_group", "left_semi").join(keyed.select("_row", "doc_id"), "_row")
+    best = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).getField("_row").alias("_best"))
+    dropped = stored(members.join(best, "_group").where("_row <> _best").select("_row"), "dropped")
+    return keyed.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -436,6 +436,16 @@ def test_license_files(spark):
     assert all(got[30 + k].license is None for k in range(30))
 
 
+def test_deduplicate_by_row(spark):
+    """Stage 3 keeps one row of each group, whatever the ids: null, or shared by rows with different texts."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (5, b), (5, c), (3, b), (None, d), (8, d), (9, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pipeline.deduplicate(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(None, a), (5, c), (3, b), (8, d), (9, ""), (None, "")])
+
+
 def test_pipeline(spark):
     """Decisions of all stages on a small corpus: junk, short texts and copies go, personal data are masked, pieces add up."""
     pipeline = pytest.importorskip("corpus_pipeline")
