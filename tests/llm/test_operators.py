@@ -468,3 +468,70 @@ def test_pipeline(spark):
     for p in pieces:
         totals[p.doc_id] += p.length
     assert all(totals[p.doc_id] == p.doc_tokens for p in pieces)
+
+
+def brute_kept(rows):
+    """Rows that the quality rules keep, with the hosts' prior, in plain Python."""
+    measured, hosts = [], collections.defaultdict(list)
+    for r in rows:
+        t = r.text or ""
+        w = re.findall(WORD, t)
+        n = len(w)
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(n - 7))
+        repeated = len({p for i in range(n - 7) if seen[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)})
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
+        chars = sum(map(len, w))
+        base = n < 20 or 100 * repeated > 30 * n
+        soft = sum([4 * len(re.findall(r"[#*$%&|<>]", t)) > n, 100 * (len(lines) - len(set(lines))) > 30 * len(lines), 10 * repeated > n, chars < 2 * n or chars > 20 * n])
+        measured.append((r, base, soft))
+        hosts[r.source].append(base or soft > 0)
+    rates = [sum(x) / len(x) for x in hosts.values()]
+    mean = min(max(sum(map(sum, hosts.values())) / len(measured), 1e-4), 1 - 1e-4)
+    spread = max(np.var(rates) - mean * (1 - mean) * np.mean([1 / len(x) for x in hosts.values()]), 1e-6)
+    strength = min(max(mean * (1 - mean) / spread - 1, 2), 1e6)
+    return [r for r, base, soft in measured if not base and soft < (1 if (sum(hosts[r.source]) + mean * strength) / (len(hosts[r.source]) + strength) >= 0.5 else 2)]
+
+
+def test_pipeline_decisions(spark):
+    """Each stage's rows on the test table equal those that plain Python keeps of the stage before."""
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    queries = pytest.importorskip("triloom.llm.queries")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda rows: sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows)
+    rows = docs.collect()
+    stages = dict(pipeline.STAGES)
+    ran = []
+
+    def step(name, want):
+        got = stages[name](spark, spark.createDataFrame(rows, docs.schema), sf).collect()
+        assert key(got) == key(want), name
+        ran.append(name)
+        return got
+
+    net = queries.fitted(spark, docs, sf)
+    rows = step("quality classifier", [r for r in rows if quality_cnn.scores(net, [(r.text or "").encode()])[0] >= 0.3])
+    rows = step("quality rules", brute_kept(rows))
+    found = brute_components([(r.doc_id, r.text) for r in rows])
+    rows = step("n-gram jaccard join", [r for r in rows if found[r.doc_id][1] == r.doc_id])
+    tagger, want = pii.train(), []
+    for r in rows:
+        base = brute_spans(r.text)
+        text = pii.masked(r.text, base + pii.added_spans(tagger, [r.text], [base])[0])
+        want.append(type(r)(**{**r.asDict(), "text": text, "n_chars": len(text)}))
+    rows = step("personal data", want)
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    expected = {r.doc_id: [*tok.encode(r.text, add_special_tokens=False).ids, 1] for r in rows}
+    covered = collections.defaultdict(list)
+    for p in pipeline.pack(spark, spark.createDataFrame(rows, docs.schema), sf).collect():
+        ids = expected[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(struct.pack(f"<{p.length}I", *ids[p.start : p.start + p.length]))
+        covered[p.doc_id].append((p.start, p.length))
+    assert set(covered) == set(expected)
+    for k, parts in covered.items():
+        ends = [0, *(a + b for a, b in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] == len(expected[k])
+    assert ran == [name for name, _ in pipeline.STAGES[:-1]]
