@@ -29,8 +29,8 @@ from .runtime import arrow_schema, ddl, small_batches, texts
 #: White space as the vocabulary's pattern has it (the Unicode property), whatever a regex library takes \s for.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Runs whose ids one Python worker remembers, bytes of words in one query, and DuckDB's memory.
-CACHE_RUNS, QUERY_BYTES, MEMORY = 600_000, 400_000, "300MB"
+#: Runs and words whose ids one Python worker remembers, bytes of words in one query, and DuckDB's memory.
+CACHE_RUNS, QUERY_BYTES, MEMORY = 1_000_000, 400_000, "300MB"
 
 #: Words of one query; they come sorted by length, so that all of a query take about as many steps.
 QUERY_WORDS = 8000
@@ -52,7 +52,7 @@ with recursive state(word, pos, token, nxt, ntok, rank) using key (word, pos) as
       union all
       select word, gone, -1, -2, -1, null from far)
 )
-select word, list(token order by pos) as ids, string_agg(hex(v.bytes), '' order by pos) as spelt
+select word, list({{'id': token, 'bytes': v.bytes}} order by pos) as tokens
 from state join vocabulary v on v.rank = state.token group by word
 """
 #: One place of each word: the leftmost pair of least rank.
@@ -121,19 +121,31 @@ class Encoder:
             token = self.single[np.frombuffer(b"".join(part), np.uint8)]
             last = pos == np.repeat(lengths, lengths) - 1
             self.put("start", pa.table({"word": word, "pos": pos, "token": token, "nxt": np.where(last, -1, pos + 1).astype(np.int32), "ntok": np.where(last, -1, np.append(token[1:], -1)).astype(np.int32)}))
-            got = self.db.sql(ALL if lengths[-1] > LONG else ONE).to_arrow_table()
-            ids = got["ids"].combine_chunks()
-            flat, offsets = np.asarray(ids.values).astype("<u4").tobytes(), np.asarray(ids.offsets)
-            for k, (n, spelt) in enumerate(zip(got["word"].to_pylist(), got["spelt"].to_pylist(), strict=True)):
-                out[part[n]] = (flat[4 * offsets[k] : 4 * offsets[k + 1]], bytes.fromhex(spelt))
+            got = self.db.sql(ALL if lengths[-1] > LONG else ONE).to_arrow_table().combine_chunks()
+            if not got.num_rows:
+                continue
+            tokens = got["tokens"].chunk(0)
+            ids, spelt = (tokens.values.field(k) for k in range(2))
+            at_ids = np.asarray(tokens.offsets)
+            at_bytes = np.frombuffer(spelt.buffers()[1], np.int32, len(spelt) + 1, 4 * spelt.offset)[at_ids].tolist()
+            at_ids = (4 * at_ids).tolist()
+            flat, data = np.asarray(ids).astype("<u4").tobytes(), spelt.buffers()[2].to_pybytes()
+            for k, n in enumerate(got["word"].to_pylist()):
+                out[part[n]] = (flat[at_ids[k] : at_ids[k + 1]], data[at_bytes[k] : at_bytes[k + 1]])
         return out
 
     def learn(self, new: list[str]) -> None:
+        """Runs, and the words that they have in common, are kept in one memory."""
+        known = self.runs
         # letters after at most one blank are one match
-        cut = {run: [run.encode()] if run.isalpha() or run[0] == " " and run[1:].isalpha() else [w.encode("utf-8", "replace") for w in self.pattern.findall(run)] for run in new}
-        got = self.words(list({w for ws in cut.values() for w in ws}))
+        cut = {run: self.pattern.findall(run) for run in new if not (run.isalpha() or run[0] == " " and run[1:].isalpha())}
+        fresh = {w: w.encode("utf-8", "replace") for w in {w for ws in cut.values() for w in ws}.union(x for x in new if x not in cut) if w not in known}
+        got = self.words(list(set(fresh.values())))
+        known.update((w, got[spelt]) for w, spelt in fresh.items())
         for run, ws in cut.items():
-            self.runs[run] = got[ws[0]] if len(ws) == 1 else (b"".join(got[w][0] for w in ws), b"".join(got[w][1] for w in ws))
+            if len(ws) > 1:
+                found = [known[w] for w in ws]
+                known[run] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
 
     def encode(self, batch: list[str], group: int = 4_000_000) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text, in order."""
