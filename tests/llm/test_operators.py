@@ -223,34 +223,72 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_html_copies():
-    """Copies of an article, equal or nearly so, keep it; notices on many distinct articles go."""
+def page_texts(spark, pages, parts=3):
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(parts)
+    return [r.text for r in sorted(html_text.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_copies(spark):
+    """Articles stay whole, whatever number of pages shares a paragraph or all of it; notices known as chrome go."""
     own = lambda k, j: " ".join(f"w{k}x{j}x{i}" for i in range(20))
     notice = "please accept that this site sets cookies and keeps them for a year"
-    copy = "".join(f"<p>{own('c', j)}</p>" for j in range(4))
-    text = "\n".join(own("c", j) for j in range(4))
-    assert html_text.main_texts([f"<article>{copy}</article>"] * 20) == [text] * 20
-    near = html_text.main_texts([f"<article>{copy}<p>changed {k} here</p></article>" for k in range(20)])
-    assert near == [f"{text}\nchanged {k} here" for k in range(20)]
-    assert html_text.main_texts([f"<div>{copy}</div>"] * 2) == [text] * 2
-    got = html_text.main_texts([f"<article><p>{own(k, 0)}</p><p>{notice}</p><p>{own(k, 1)}</p></article>" for k in range(20)])
-    assert got == [f"{own(k, 0)}\n{own(k, 1)}" for k in range(20)]
-    # headings shared by pages without a main zone stay
-    assert html_text.main_texts([f"<h2>A heading</h2><div>{own(k, 0)}</div>" for k in range(3)]) == [f"A heading\n{own(k, 0)}" for k in range(3)]
-
-
-def test_html_large_hosts(spark, monkeypatch):
-    """A host over GROUP_BYTES gives the same texts as in one group: repeats are found wherever its pages lie."""
+    copy, text = "".join(f"<p>{own('c', j)}</p>" for j in range(4)), "\n".join(own("c", j) for j in range(4))
+    assert page_texts(spark, [f"<article>{copy}</article>"] * 20) == [text] * 20
+    assert page_texts(spark, [f"<article>{copy}<p>changed {k} here</p></article>" for k in range(20)]) == [f"{text}\nchanged {k} here" for k in range(20)]
+    assert page_texts(spark, [f"<div>{copy}</div>"] * 2) == [text] * 2
+    for n in (11, 12, 13):
+        shared = [f"<article><p>{own(k, 0)}</p><p>{notice}</p><p>{own(k, 1)}</p></article>" for k in range(n)]
+        assert page_texts(spark, shared) == [f"{own(k, 0)}\n{notice}\n{own(k, 1)}" for k in range(n)]
+        known = [f"{p}<div class=cookie>{notice}</div>" if k < 2 else p for k, p in enumerate(shared)]
+        assert page_texts(spark, known) == [f"{own(k, 0)}\n{own(k, 1)}" for k in range(n)]
+    # headings shared by pages without a main zone stay, the footer's long run doesn't
+    assert page_texts(spark, [f"<h2>A heading</h2><div>{own(k, 0)}</div><div>{notice}</div>" for k in range(3)]) == [f"A heading\n{own(k, 0)}" for k in range(3)]
+
+
+def brute_texts(pages):
+    """Main texts of (host, html) by sets of runs."""
+    split = [html_text.split_page(p or "") for _, p in pages]
+    runs = lambda x: [tuple(x.split()[i : i + html_text.SPAN]) for i in range(len(x.split()) - html_text.SPAN + 1)]
+    stands = {k: collections.defaultdict(set) for k in ("run", "chrome", "main")}
+    for (host, _), (zoned, kept, other) in zip(pages, split, strict=True):
+        for x in other + ([] if zoned else kept):
+            for r in runs(x):
+                stands["run"][host, r].add(tuple(kept))
+        for x in other:
+            stands["chrome"][host, x].add(tuple(kept))
+        for x in kept if zoned else []:
+            stands["main"][host, x].add(tuple(kept))
+    out = []
+    for (host, _), (zoned, kept, _) in zip(pages, split, strict=True):
+        if zoned:
+            left = [x for x in kept if min(len(stands["chrome"][host, x]), len(stands["main"][host, x])) < 2]
+        else:
+            left = []
+            for x in kept:
+                gone = {i + s for i, r in enumerate(runs(x)) if len(stands["run"][host, r]) > 1 for s in range(html_text.SPAN)}
+                left.append(" ".join(w for i, w in enumerate(x.split()) if i not in gone))
+        out.append("\n".join([x for x in left if x] or kept))
+    return out
+
+
+def test_html_brute_force(spark):
+    """Random hosts, whose pages share runs, blocks and notices, however they are dealt; ids may repeat or be null."""
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcde"), 4))
     pool = [" ".join(word() for _ in range(int(rng.integers(3, 30)))) for _ in range(30)]
-    rows = [(None if k % 17 == 0 else k // 2 if k % 13 == 0 else k, f"http://{'a' if k % 5 else 'b'}.example/{k}", None if k == 7 else "".join(f"<p>{pool[int(rng.integers(30))] if rng.random() < 0.3 else ' '.join(word() for _ in range(12))}</p>" for _ in range(4)).join(["<article><p>the notice that stands on each page of this host in full length</p>", "</article>"] if k % 3 else ["<div>", "</div>"])) for k in range(90)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    want = sorted(map(str, html_text.extract(df).collect()))
-    for size in (20_000, 3_000):
-        monkeypatch.setattr(html_text, "GROUP_BYTES", size)
-        assert sorted(map(str, html_text.extract(df).collect())) == want
-    assert sum("notice" in x for x in want) < 20 < len(want) == 90
+    pages = []
+    for k in range(90):
+        parts = [f"<p>{pool[int(rng.integers(30))] if rng.random() < 0.4 else ' '.join(word() for _ in range(12))}</p>" for _ in range(int(rng.integers(0, 8)))]
+        at = int(rng.integers(0, len(parts) + 1))
+        html = f"<article>{''.join(parts[:at])}</article><div class=sidebar>{''.join(parts[at:])}</div>" if k % 2 else "".join(parts)
+        pages.append((f"{'a' if k % 5 else 'b'}.example", None if k == 7 else html))
+    want = brute_texts(pages)
+    assert sum(w != "\n".join(html_text.split_page(p or "")[1]) for w, (_, p) in zip(want, pages, strict=True)) > 20
+    rows = [(None if k % 17 == 0 else k // 2 if k % 13 == 0 else k, f"http://{h}/{k}", p, "x", "y") for k, (h, p) in enumerate(pages)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, hash string").repartition(parts)
+        got = {r.url: r for r in html_text.extract(df).collect()}
+        assert [got[u].text for _, u, *_ in rows] == want and [got[u].page_id for _, u, *_ in rows] == [r[0] for r in rows]
 
 
 def test_suffix_ranks():

@@ -1,21 +1,22 @@
-"""Main text of pages, by structure and a suffix array for each host.
+"""Main text of pages, by structure and a suffix array of each host's pages.
 
 A page is parsed into blocks of text, each in one of three zones: main (inside article or main), chrome (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) and plain. The token streams of a host's pages are concatenated,
-with a mark of its own after each block, and their suffixes sorted by the first SPAN tokens (prefix doubling in
-numpy). Neighbours that agree are long substrings; those found on several pages cover boilerplate.
+footers, sidebars, notices, adverts, forms, comments) and plain. Pages with a main zone keep its blocks; what lies outside it
+counts as chrome. Pages without one keep their plain blocks. Chrome goes.
 
-Chrome goes. On pages with a main zone its blocks stay, but for such as are covered through and through by substrings found
-on most of the host's pages (notices set into the article), unless they hold half of the article's tokens or more: then the
-page is one of many copies and keeps all. On other pages the plain blocks stay, without the runs covered on two pages or
-more: the unique runs are kept; if there are none, all stays. Pages of equal articles count as one page throughout.
+Token streams of a host's pages are concatenated, with an end after each block, and their suffixes sorted. Neighbours that
+agree in SPAN tokens or more, or in a whole block, are long substrings. Each task sorts the suffixes of its pages; one row for each
+distinct substring of SPAN tokens (any longer repeat is covered by such ones, so no other length is needed) then goes to
+where its host's rows are merged by hash, and those of two distinct pages or more are left. So no task
+holds a host, and the texts are the same however the pages are dealt. Pages of equal articles count as one page throughout.
 
-Pages are parsed once and what isn't chrome is stored. A host of up to GROUP_BYTES of it is one task's suffix array. On a larger
-host the substrings of SPAN tokens are dealt by their 64-bit hash to buckets, counted there over all of the host's
-articles, and the repeated ones go back to their pages; the texts are the same as from one array.
+A page without a main zone loses the runs that stand on another page of its host: its unique runs are kept (all, if there
+are none). A block of a main zone goes only if it stands as chrome on two pages or more and in the main zones of two distinct
+articles or more: a notice that some pages set into the article. Paragraphs that articles share stay, as do copies of a page.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; null ids and repeated rows are
-extracted row by row; an empty table gives no rows; further columns are ignored.
+extracted row by row; an empty table gives no rows; further columns are ignored. A task holds an Arrow batch of pages; a very
+long page is parsed in one pass.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ from pyspark.sql import functions as F
 
 from .runtime import arrow_schema, ddl, small_batches, stored, texts
 
-#: Tokens of the shortest substring that counts, as a power of two; bytes of kept text of a host in one task or bucket.
-SPAN, GROUP_BYTES = 8, 6_000_000
-#: A block of the main zone is a notice if found in so large a share of a group's articles, and in so many.
-MOST, MANY = 0.6, 12
+#: Tokens of the shortest substring that counts, as a power of two.
+SPAN = 8
 
 # Element names and words of class, id and role.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -139,219 +138,180 @@ def suffix_order(tokens: np.ndarray) -> np.ndarray:
     return rank
 
 
-def article(page: list[tuple[str, str]]) -> int:
-    """Identity of a page's article: a hash of its main zone, else of its plain blocks; 0 if there are none."""
-    text = [t for z, t in page if z == "main"] or [t for _, t in page]
-    return int.from_bytes(hashlib.blake2b("\n".join(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if text else 0
+def page_hash(blocks_: list[str]) -> int:
+    """Identity of a page's article: a hash of its blocks; 0 if there are none."""
+    return int.from_bytes(hashlib.blake2b("\n".join(blocks_).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if blocks_ else 0
 
 
-def coverage(pages: list[list[str]], ids: list[int]) -> list[list[np.ndarray]]:
-    """For each page and block, on how many distinct articles (ids) the longest-lived substring over each token stands (0: none
-    of SPAN tokens)."""
-    seen: dict[str, int] = {}
-    tokens: list[int] = []
-    owner, shape, mark = [], [], -2
-    key: dict[int, int] = {}
-    for k, bs in enumerate(pages):
-        page = key.setdefault(ids[k], len(key))
-        for b in bs:
-            words = [seen.setdefault(w, len(seen)) for w in b.split()]
-            pad = max(1, SPAN - len(words))  # short blocks are filled up by one common mark
-            tokens += words + [-1] * (pad - 1) + [mark]
-            owner += [page] * (len(words) + pad)
-            shape.append((k, len(words), len(words) + pad))
-            mark -= 1
-    out: list[list[np.ndarray]] = [[] for _ in pages]
-    if not tokens:
-        return out
-    rank = suffix_order(np.array(tokens, np.int64))
-    owner_ = np.array(owner, np.int64)
-    order = np.lexsort((owner_, rank))
-    r, o = rank[order], owner_[order]
-    fresh = np.concatenate([[True], r[1:] != r[:-1]])
-    first = np.flatnonzero(fresh)
-    distinct = np.add.reduceat((fresh | np.concatenate([[True], o[1:] != o[:-1]])).astype(np.int64), first)
-    count = np.empty(len(rank), np.int64)
-    count[order] = np.repeat(distinct, np.diff(np.append(first, len(r))))
-    at = 0
-    for k, n, size in shape:
-        c = count[at : at + max(1, size - SPAN)] if n >= SPAN else count[at : at + 1]
-        at += size
-        if n < SPAN:
-            out[k].append(np.full(n, c[0] if c[0] > 1 else 0))
-            continue
-        starts = count[at - size : at - size + n - SPAN + 1]
-        cover = np.zeros(n, np.int64)
-        for s in range(SPAN):
-            np.maximum(cover[s : s + len(starts)], starts, out=cover[s : s + len(starts)])
-        out[k].append(np.where(cover > 1, cover, 0))
-    return out
-
+def split_page(html: str) -> tuple[bool, list[str], list[str]]:
+    """Whether a page has a main zone, its blocks to keep, and all others."""
+    found = blocks(html)
+    zone = "main" if any(z == "main" for z, _ in found) else "plain"
+    return zone == "main", [t for z, t in found if z == zone], [t for z, t in found if z != zone]
 
-def main_text(page: list[tuple[str, str]], cover: list[np.ndarray], articles: int) -> str:
-    """Main text of a page without chrome, on a host of so many distinct articles."""
-    if any(z == "main" for z, _ in page):
-        notice = max(MANY, MOST * articles)
-        main = [(t, len(c), len(c) > 0 and c.min() >= notice) for (z, t), c in zip(page, cover, strict=True) if z == "main"]
-        copy = 2 * sum(n for _, n, gone in main if gone) >= sum(n for _, n, _ in main)
-        return "\n".join(t for t, _, gone in main if copy or not gone)
-    lines = [" ".join(w for w, x in zip(t.split(), c.tolist(), strict=True) if not x) for (_, t), c in zip(page, cover, strict=True)]
-    return "\n".join(x for x in lines if x) or "\n".join(t for _, t in page)
 
+class Hashes:
+    """64-bit hashes of runs of tokens; remembers those of the tokens."""
 
-def page_blocks(html: str) -> list[tuple[str, str]]:
-    return [x for x in blocks(html) if x[0] != "chrome"]
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
+    def tokens(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return np.array([self.known[w] for w in words], np.uint64)
 
-def array_texts(kept: list[list[tuple[str, str]]]) -> list[str]:
-    """Main text of each page of a host, by one suffix array."""
-    ids = [article(b) for b in kept]
-    covers = coverage([[t for _, t in b] for b in kept], ids)
-    return [main_text(b, cover, len(set(ids) - {0})) for b, cover in zip(kept, covers, strict=True)]
-
-
-def main_texts(pages: list[str]) -> list[str]:
-    return array_texts([page_blocks(p) for p in pages])
-
-
-def packed(kept: list[tuple[str, str]]) -> str:
-    """Blocks as lines, the zone's first letter in front; a block has no line feed of its own."""
-    return "\n".join(z[0] + t for z, t in kept)
+    def windows(self, words: list[str]) -> np.ndarray:
+        """Of each SPAN tokens in a row."""
+        n = len(words) - SPAN + 1
+        if n < 1:
+            return np.empty(0, np.int64)
+        token, out = self.tokens(words), np.zeros(n, np.uint64)
+        for s in range(SPAN):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + token[s : s + n]
+        return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-def unpacked(text: str) -> list[tuple[str, str]]:
-    return [("main" if x[0] == "m" else "plain", x[1:]) for x in text.split("\n")] if text else []
+def block_hash(block: str) -> int:
+    """Of a block as a whole, another than that of any run of tokens."""
+    return int.from_bytes(hashlib.blake2b(block.encode("utf-8", "surrogatepass"), digest_size=8, person=b"block").digest(), "little", signed=True)
 
 
-def window_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash of each SPAN tokens of a block in a row; known keeps the tokens' own."""
-    words = text.split()
-    if len(words) < SPAN:
-        return np.empty(0, np.uint64)
-    if len(known) > 1_000_000:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    token = np.array([known[w] for w in words], np.uint64)
-    n = len(words) - SPAN + 1
-    out = np.zeros(n, np.uint64)
-    for s in range(SPAN):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + token[s : s + n]
-    return out ^ (out >> np.uint64(32))
+PARSED = arrow_schema(page_id="long", url="string", host="long", article="long", zoned="boolean", kept="string", other="string")
+PIECES = arrow_schema(host="long", hash="long", kind="int", lo="long", hi="long")
+ASKED = arrow_schema(row="long", host="long", hash="long")
+EXTRACTED = arrow_schema(page_id="long", url="string", text="string", n_chars="long")
+#: Kinds of substrings: SPAN tokens in chrome and on a page without a main zone, and whole blocks in chrome and in a main zone.
+CHROME_RUN, PLAIN_RUN, CHROME_BLOCK, MAIN_BLOCK = range(4)
 
 
-def host_counts(hashes: np.ndarray, articles: np.ndarray) -> np.ndarray:
-    """For each (hash, article), in how many distinct articles the hash stands."""
-    order = np.lexsort((articles, hashes))
-    h, a = hashes[order], articles[order]
-    fresh = np.concatenate([[True], h[1:] != h[:-1]])
-    first = np.flatnonzero(fresh)
-    distinct = np.add.reduceat((fresh | np.concatenate([[True], a[1:] != a[:-1]])).astype(np.int64), first)
-    out = np.empty(len(h), np.int64)
-    out[order] = np.repeat(distinct, np.diff(np.append(first, len(h))))
-    return out
+def lines(text: str) -> list[str]:
+    """Blocks, stored as lines; a block has no line feed of its own."""
+    return text.split("\n") if text else []
 
 
-def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Substrings of large hosts' pages, one row per host and bucket in a batch: hashes, rows and articles as bytes."""
-    known: dict[str, int] = {}
-    for batch in batches:
-        hosts: dict[str, list] = {}
-        for row, host, groups, art, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found = [window_hashes(t, known) for _, t in unpacked(text)]
-            h = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-            hosts.setdefault(host, []).append((groups, h, np.full(len(h), row, np.int64), np.full(len(h), art, np.int64)))
-        out: list[tuple] = []
-        for host, pages in hosts.items():
-            h, r, a = (np.concatenate([p[k] for p in pages]) for k in (1, 2, 3))
-            bucket = (h % np.uint64(pages[0][0])).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            out += [(host, int(bucket[part[0]]), h[part].tobytes(), r[part].tobytes(), a[part].tobytes()) for part in np.split(order, cuts) if len(part)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t.type) for k, t in enumerate(DEALT)], schema=DEALT)
-
-
-def count(table: pa.Table) -> pa.Table:
-    """The repeated substrings of a bucket, one row per page that has some: hashes and counts as bytes."""
-    h, r, a = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in (("h", np.uint64), ("r", np.int64), ("a", np.int64)))
-    n = host_counts(h, a)
-    some = np.flatnonzero(n > 1)
-    some = some[np.argsort(r[some], kind="stable")]
-    parts = [x for x in np.split(some, np.flatnonzero(np.diff(r[some])) + 1) if len(x)]
-    return pa.table([pa.array([int(r[x[0]]) for x in parts], pa.int64()), pa.array([h[x].tobytes() for x in parts], pa.binary()), pa.array([n[x].tobytes() for x in parts], pa.binary())], schema=COUNTED)
-
-
-def counted_text(text: str, hashes: bytes, counts: bytes, articles: int, known: dict[str, int]) -> str:
-    """Main text of a page whose repeated substrings were counted over the host."""
-    h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    page, covers = unpacked(text), []
-    for _, t in page:
-        w = window_hashes(t, known)
-        at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
-        starts = np.where(h[at] == w, n[at], 0) if len(h) else np.zeros(len(w), np.int64)
-        cover = np.zeros(len(t.split()), np.int64)
-        if len(w):
-            for s in range(SPAN):
-                np.maximum(cover[s : s + len(w)], starts, out=cover[s : s + len(w)])
-        covers.append(cover)
-    return main_text(page, covers, articles)
-
-
-PARSED = arrow_schema(page_id="long", url="string", host="string", article="long", kept="string")
-DEALT = arrow_schema(host="string", bucket="long", h="binary", r="binary", a="binary")
-COUNTED = arrow_schema(row="long", h="binary", n="binary")
-EXTRACTED = arrow_schema(page_id="long", url="string", text="string", n_chars="long")
+def rows_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [page_blocks(x) for x in texts(batch.column(3))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([article(b) for b in kept], pa.int64()), pa.array([packed(b) for b in kept], pa.string())], schema=PARSED)
-
+        split = [split_page(x) for x in texts(batch.column(3))]
+        yield rows_of(PARSED, [*batch.columns[:3], [page_hash(k) for _, k, _ in split], [z for z, _, _ in split], ["\n".join(k) for _, k, _ in split], ["\n".join(o) for _, _, o in split]])
 
-def results(page_id: pa.Array, url: pa.Array, got: list[str]) -> list:
-    return [page_id, url, pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())]
 
-
-def whole_host(table: pa.Table) -> pa.Table:
-    got = array_texts([unpacked(x) for x in table.column("kept").to_pylist()])
-    return pa.table(results(table.column("page_id"), table.column("url"), got), schema=EXTRACTED)
+def distinct_runs(streams: list[tuple[int, list[list[str]]]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each distinct run of SPAN tokens in the streams (article, blocks), and the least and greatest of its articles."""
+    seen: dict[str, int] = {}
+    tokens: list[int] = []
+    owner, starts, found = [], [], []
+    for article, blocks_ in streams:
+        for words in blocks_:
+            if len(words) < SPAN:
+                continue
+            starts.append(np.arange(len(tokens), len(tokens) + len(words) - SPAN + 1))
+            found.append(hashes.windows(words))
+            owner.append(np.full(len(found[-1]), article, np.int64))
+            tokens += [seen.setdefault(w, len(seen)) for w in words]
+    if not starts:
+        return (np.empty(0, np.int64),) * 3
+    at, h, o = np.concatenate(starts), np.concatenate(found), np.concatenate(owner)
+    rank = suffix_order(np.array(tokens, np.int64))[at]
+    order = np.argsort(rank, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
+    return h[order][first], np.minimum.reduceat(o[order], first), np.maximum.reduceat(o[order], first)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each host, kind and distinct substring of a batch, by a suffix array for each host."""
+    hashes = Hashes()
+    for batch in batches:
+        hosts: dict[int, list[list[tuple]]] = {}
+        for host, article, zoned, kept, other in zip(*(batch.column(c).to_pylist() for c in ("host", "article", "zoned", "kept", "other")), strict=True):
+            of = hosts.setdefault(host, [[], [], [], []])
+            of[CHROME_RUN].append((article, [x.split() for x in lines(other)]))
+            of[CHROME_BLOCK] += [(block_hash(x), article) for x in lines(other)]
+            if zoned:
+                of[MAIN_BLOCK] += [(block_hash(x), article) for x in lines(kept)]
+            else:
+                of[PLAIN_RUN].append((article, [x.split() for x in lines(kept)]))
+        out: list[list] = [[], [], [], [], []]
+        for host, of in hosts.items():
+            for kind in range(4):
+                if kind in (CHROME_RUN, PLAIN_RUN):
+                    h, lo, hi = distinct_runs(of[kind], hashes)
+                else:
+                    both = np.array(sorted(of[kind]), np.int64).reshape(-1, 2)
+                    first = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]])) if len(both) else np.empty(0, np.int64)
+                    h, lo, hi = (both[first, 0], np.minimum.reduceat(both[:, 1], first), np.maximum.reduceat(both[:, 1], first)) if len(both) else (np.empty(0, np.int64),) * 3
+                for column, x in zip(out, (np.full(len(h), host, np.int64), h, np.full(len(h), kind, np.int32), lo, hi), strict=True):
+                    column.append(x)
+        if out[0]:
+            yield rows_of(PIECES, [np.concatenate(c) for c in out])
+
+
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The substrings that decide on a page: its runs, or the blocks of its main zone."""
+    hashes = Hashes()
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for row, host, zoned, kept in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "zoned", "kept")), strict=True):
+            found = [np.array([block_hash(x)]) for x in lines(kept)] if zoned else [hashes.windows(x.split()) for x in lines(kept)]
+            if found:
+                h = np.unique(np.concatenate(found))
+                for column, x in zip(out, (np.full(len(h), row, np.int64), np.full(len(h), host, np.int64), h), strict=True):
+                    column.append(x)
+        if out[0]:
+            yield rows_of(ASKED, [np.concatenate(c) for c in out])
+
+
+def main_text(zoned: bool, kept: list[str], repeated: np.ndarray, hashes: Hashes) -> str:
+    """Blocks without the repeated ones, or without the runs that repeated runs cover; all, if nothing would be left."""
+    if not len(repeated):
+        return "\n".join(kept)
+    if zoned:
+        gone = set(repeated.tolist())
+        left = [x for x in kept if block_hash(x) not in gone]
+        return "\n".join(left or kept)
+    out = []
+    for x in kept:
+        words = x.split()
+        hit = np.isin(hashes.windows(words), repeated)
+        cover = np.zeros(len(words), bool)
+        for s in range(SPAN if len(hit) else 0):
+            cover[s : s + len(hit)] |= hit
+        out.append(" ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c))
+    return "\n".join([x for x in out if x] or kept)
 
 
 def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
+    hashes = Hashes()
     for batch in batches:
-        got = [counted_text(t, b"".join(h or []), b"".join(n or []), k, known) for t, k, h, n in zip(*[batch.column(c).to_pylist() for c in ("kept", "articles", "h", "n")], strict=True)]
-        yield pa.RecordBatch.from_arrays(results(batch.column("page_id"), batch.column("url"), got), schema=EXTRACTED)
+        got = [main_text(z, lines(k), np.array(r or [], np.int64), hashes) for z, k, r in zip(*(batch.column(c).to_pylist() for c in ("zoned", "kept", "repeated")), strict=True)]
+        yield rows_of(EXTRACTED, [batch.column("page_id"), batch.column("url"), got, [len(x) for x in got]])
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
     small_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("string").alias("html"))
     rows = stored(rows.mapInArrow(parse, ddl(PARSED)).select(F.monotonically_increasing_id().alias("row"), "*"), "html-blocks")
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("kept") + 100) / GROUP_BYTES).cast("long").alias("groups"))
-    large = sizes.where("groups > 1").select(F.col("host").alias("big"), "groups")
-    # hosts of more than one group: at most one for GROUP_BYTES of input; broadcast only if counted to be few
-    n = large.count()
-    if n == 0:
-        return rows.select("page_id", "url", "kept", "host").groupBy("host").applyInArrow(whole_host, ddl(EXTRACTED))
-    large = stored(large, "html-hosts")
-    few = F.broadcast(large) if n <= broadcast_hosts else large
-    match = F.col("host") == F.col("big")
-    small = rows.join(few, match, "left_anti").select("page_id", "url", "kept", "host").groupBy("host").applyInArrow(whole_host, ddl(EXTRACTED))
-    rest = rows.join(few, match)
-    articles = rest.where("article <> 0").select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
-    articles = articles.withColumnRenamed("host", "of")
-    articles = F.broadcast(articles) if n <= broadcast_hosts else articles
-    dealt = rest.select("row", "host", "groups", "article", "kept").mapInArrow(deal, ddl(DEALT))
-    found = dealt.groupBy("host", "bucket").applyInArrow(count, ddl(COUNTED))
-    found = found.groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("found")).select("row", F.col("found.h").alias("h"), F.col("found.n").alias("n"))
-    rest = rest.join(articles, F.col("host") == F.col("of"), "left").join(found, "row", "left")
-    rest = rest.select("page_id", "url", "kept", F.coalesce("articles", F.lit(0)).alias("articles"), "h", "n")
-    return small.unionByName(rest.mapInArrow(decide, ddl(EXTRACTED)))
+    found = rows.select("host", "article", "zoned", "kept", "other").mapInArrow(pieces, ddl(PIECES))
+    run, kind = F.col("kind") <= PLAIN_RUN, F.col("kind")
+    merged = found.groupBy("host", "hash").agg(
+        F.max((kind == PLAIN_RUN).cast("int")).alias("asked"),
+        (F.min(F.when(run, F.col("lo"))) < F.max(F.when(run, F.col("hi")))).alias("runs"),
+        (F.min(F.when(kind == CHROME_BLOCK, F.col("lo"))) < F.max(F.when(kind == CHROME_BLOCK, F.col("hi")))).alias("chrome"),
+        (F.min(F.when(kind == MAIN_BLOCK, F.col("lo"))) < F.max(F.when(kind == MAIN_BLOCK, F.col("hi")))).alias("main"),
+    )
+    boiler = stored(merged.where("(asked = 1 and runs) or (chrome and main)").select("host", "hash"), "html-repeats")
+    # stored tables: the planner knows their sizes, and broadcasts below its threshold only
+    hits = rows.select("row", "host", "zoned", "kept").mapInArrow(asked, ddl(ASKED)).join(boiler, ["host", "hash"])
+    hits = stored(hits.groupBy("row").agg(F.collect_list("hash").alias("repeated")), "html-hits")
+    out = rows.select("row", "page_id", "url", "zoned", "kept").join(hits, "row", "left")
+    return out.select("page_id", "url", "zoned", "kept", "repeated").mapInArrow(decide, ddl(EXTRACTED))
