@@ -97,7 +97,8 @@ class Encoder:
         columns = [pa.array(x, pa.int32()) for x in zip(*merges, strict=True)]
         self.put("merges", pa.table(columns, names=["a", "b", "rank"]))
         self.put("vocabulary", pa.table({"rank": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
-        self.runs: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.spelt: dict[str, bytes] = {}
 
     def put(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
@@ -134,18 +135,18 @@ class Encoder:
                 out[part[n]] = (flat[at_ids[k] : at_ids[k + 1]], data[at_bytes[k] : at_bytes[k + 1]])
         return out
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Runs, and the words that they have in common, are kept in one memory."""
-        known = self.runs
+        ids, spelt = self.ids, self.spelt
         # letters after at most one blank are one match
         cut = {run: self.pattern.findall(run) for run in new if not (run.isalpha() or run[0] == " " and run[1:].isalpha())}
-        fresh = {w: w.encode("utf-8", "replace") for w in {w for ws in cut.values() for w in ws}.union(x for x in new if x not in cut) if w not in known}
-        got = self.words(list(set(fresh.values())))
-        known.update((w, got[spelt]) for w, spelt in fresh.items())
+        fresh = list(set().union(*cut.values()).union(new.difference(cut)).difference(ids))
+        got = self.words(list({w.encode("utf-8", "replace") for w in fresh}))
+        for w in fresh:
+            ids[w], spelt[w] = got[w.encode("utf-8", "replace")]
         for run, ws in cut.items():
             if len(ws) > 1:
-                found = [known[w] for w in ws]
-                known[run] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
+                ids[run], spelt[run] = b"".join(map(ids.__getitem__, ws)), b"".join(map(spelt.__getitem__, ws))
 
     def encode(self, batch: list[str], group: int = 4_000_000) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text, in order."""
@@ -155,17 +156,17 @@ class Encoder:
             while end < len(batch) and (end == at or size + len(batch[end]) <= group):
                 size += len(batch[end])
                 end += 1
-            cut = [RUNS.findall(x) for x in batch[at:end]]
+            cut = list(map(RUNS.findall, batch[at:end]))
             distinct = set().union(*cut)
-            new = [x for x in distinct if x not in self.runs]
-            if len(self.runs) + len(new) > CACHE_RUNS:
-                self.runs.clear()
-                new = list(distinct)
+            new = distinct.difference(self.ids)
+            if len(self.ids) + len(new) > CACHE_RUNS:
+                self.ids.clear()
+                self.spelt.clear()
+                new = distinct
             if new:
                 self.learn(new)
             for runs in cut:
-                found = [self.runs[r] for r in runs]
-                yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+                yield b"".join(map(self.ids.__getitem__, runs)), b"".join(map(self.spelt.__getitem__, runs))
             at = end
 
 
