@@ -38,7 +38,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files /source/lang/doc_id.txt."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
-    return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    got = licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    return got.select("doc_id", "own_license", F.round("own_score", 6).alias("own_score"), "inherited_license", "license_dir", "license")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,46 @@ from embeddings e left join (select u, count(*) as n from links group by u) n on
 left join (select id, min(node) as c from reach group by id) c on c.id = e.vec_id
 """
 
+
+
+def op3_sql() -> str:
+    """Plain counts over all files; the templates' terms are written into the text."""
+    known = licenses.known_templates()
+    templates = ", ".join(f"({k}, '{name}', {full}, {least})" for k, (name, _, full, least) in enumerate(known))
+    vectors = ", ".join(f"({k}, '{w}', {ws.count(w)})" for k, (_, ws, _, _) in enumerate(known) for w in sorted(set(ws)))
+    words = ", ".join(f"('{w}')" for w in licenses.FUNCTION_WORDS)
+    split = "list_filter(regexp_split_to_array(%s, '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""
+with t(k, name, whole, least) as (values {templates}), tv(k, term, tf) as (values {vectors}), fw(term) as (values {words}),
+docs as (select row_number() over () as r, doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(doc_id::varchar, '') || '.txt' as path,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+d as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, {split % "text"} as w, list_filter(list_transform(string_split(text, chr(10)), lambda l: {split % "l"}), lambda l: len(l) > 0) as ls from docs),
+words as (select r, unnest(w) as term from d),
+df as (select term, count(distinct r) as df from words group by term),
+weight as (select term, ln(((select count(*) from docs) + 1) / (coalesce(df, 0) + 1)) + 1 as w from (select term from tv union select term from words) left join df using (term)),
+tw as (select k, term, tf * w as x from tv join weight using (term)),
+size as (select k, sqrt(sum(x * x)) as size from tw group by k),
+strange as (select k from tw join size using (k) join t using (k) where not whole and term in (select term from fw) group by k, size, least having sum(x * x) >= (least * size) ** 2 * (1 - 1e-9)),
+content as (select distinct term from tv join t using (k) where not whole and (term not in (select term from fw) or k in (select k from strange))),
+lines as (select r, unnest(range(len(ls))) as i, unnest(ls) as l from d),
+lw as (select r, i, unnest(l) as term from lines),
+heads as (select distinct r, i from lw where term in (select term from content)),
+runs as (select a.r, a.i as pos, k from heads a, range(1, {licenses.WRAP + 1}) k(k) join heads b on b.r = a.r and b.i >= a.i and b.i < a.i + k group by a.r, a.i, k having count(*) = k),
+bags as (select r, pos, k, term, count(*) as tf from runs join lw using (r) where i >= pos and i < pos + k group by all union all select r, -1, 0, term, count(*) from words group by all),
+bw as (select r, pos, b.k, term, tf * w as y from bags b join weight using (term)),
+norms as (select r, pos, k, sqrt(sum(y * y)) as norm from bw group by all),
+dots as (select r, pos, bw.k, tw.k as template, sum(y * x) as dot from bw join tw using (term) group by all),
+scored as (select dots.r, dots.pos, dots.k, name, round(dot / norm / size, 9) as score from dots join norms using (r, pos, k) join t on t.k = template join size on size.k = template where (dots.pos < 0 or not whole) and round(dot / norm / size, 9) >= least),
+best as (select r, first(name order by score desc, name) as own, max(score) as score, bool_or(pos < 0) as all_of_it from scored group by r),
+covered as (select r, sum(len(l)) as n from lines where exists (select 1 from scored s where s.r = lines.r and s.pos <= lines.i and lines.i < s.pos + s.k) group by r),
+own as (select d.r, doc_id, path, dir, own, score, coalesce(all_of_it or n >= 0.5 * len(w), false) as is_file from d left join best using (r) left join covered using (r)),
+owners as (select dir as above, first(own order by score desc, path, own) as inherited from own where is_file group by dir),
+dirs as (select dir, depth, array_to_string(list_slice(string_split(dir, '/'), 1, depth), '/') as above from (select dir, unnest(range(len(string_split(dir, '/')) + 1)) as depth from (select distinct dir from own))),
+nearest as (select dir, arg_max(inherited, depth) as inherited, arg_max(above, depth) as license_dir from dirs join owners using (above) group by dir)
+select doc_id, own as own_license, round(score, 6) as own_score, inherited as inherited_license, license_dir, coalesce(own, inherited) as license from own left join nearest using (dir)
+"""
+
+
 OP9 = r"""
 with docs as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
 words as (select r, doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from docs),
@@ -118,6 +159,17 @@ rated as (select host, (failed + mean * s) / (n + s) as rate from hosts, strengt
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and soft < case when rate >= 0.5 then 1 else 2 end as kept from f join rated using (host)
 """
 
+#: Payload digests in base 32: five bits at a time of the hexadecimal SHA-1, whose 160 bits need no padding.
+OP5 = """
+with p as (select row_number() over () as r, page_id, encode(coalesce(html, '')) as b from pages),
+d as (select *, sha1(b) as h from p),
+bits as (select *, array_to_string(list_transform(string_split(h, ''), lambda c: right(bin(16 + instr('0123456789abcdef', c) - 1), 4)), '') as x from d),
+digests as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: substr(x, 5 * i + j + 1, 1)::int * (16 >> j)))::int, 1)), '') as digest from bits),
+firsts as (select h, min(page_id) as least from d group by h)
+select page_id, octet_length(b)::bigint as payload_bytes, digest as payload_digest, case when least is null or page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to
+from digests join firsts using (h)
+"""
+
 OP10 = r"""
 with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 shingles as (select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from words where len(w) > 0)),
@@ -131,4 +183,4 @@ from documents d left join sizes s using (doc_id) left join (select id, min(node
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op3_license_scan": op3_sql(), "op5_warc": OP5, "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10}
