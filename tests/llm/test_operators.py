@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import itertools
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -439,6 +441,48 @@ def test_tagger_skips_nothing(monkeypatch):
     assert got == pii.added_spans(net, batch, bases) and sum(map(len, got)) > 20
 
 
+def test_reconcile():
+    """The set of greatest score, against all subsets; and a text of 100,000 spans in little memory and time."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice(list("123"), 3)) for _ in range(12))
+        starts = [int(rng.integers(0, 11)) * 4 for _ in range(int(rng.integers(0, 7)))]
+        found = [(3, s, min(len(text), s + 11 + 4 * int(rng.integers(0, 2))), float(rng.random())) for s in starts]
+        base = [(2, s, s + 3) for s in rng.integers(0, 45, int(rng.integers(0, 2))).tolist()]
+        joined = {}
+        for _, s, e, x in sorted(found):
+            last = next(reversed(joined), None)
+            if last and s <= last[1]:
+                joined[last[0], max(e, last[1])] = max(x, joined.pop(last))
+            else:
+                joined[s, e] = x
+        fit = [(s, e, x) for (s, e), x in joined.items() if pii.plausible(3, text[s:e]) and not any(a < e and s < b for _, a, b in base)]
+        want = max((sum(x for *_, x in part) for n in range(len(fit) + 1) for part in itertools.combinations(fit, n) if all(p[1] <= q[0] for p, q in itertools.pairwise(sorted(part)))), default=0)
+        scores = {(s, e): x for s, e, x in fit}
+        assert abs(sum(scores[s, e] for _, s, e in pii.reconcile(text, found, base)) - want) < 1e-9
+    text = "(644) 555-7859 " * 100_000
+    found = [(3, 15 * k, 15 * k + 14, 1.0) for k in range(100_000)]
+    tracemalloc.start()
+    got = pii.reconcile(text, found, [(1, 15 * k + 14, 15 * k + 15) for k in range(0, 100_000, 2)])
+    assert len(got) == 100_000 and tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
+def test_added_span_recall():
+    """Labelled spans that no pattern has, in generated text: nearly all are found, and little else."""
+    net, rng = pii.train(), np.random.default_rng(123)
+    hit = total = extra = 0
+    for _ in range(60):
+        text, tags = pii.example(rng, 600)
+        base = pii.base_spans(text)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))
+        want = {(int(tags[a]) - 1, a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if tags[a] and a > 0 and b < len(text)}
+        want = {w for w in want if not any(s < w[2] and w[1] < e for _, s, e in base) and pii.plausible(w[0], text[w[1] : w[2]])}
+        got = set(pii.added_spans(net, [text], [base])[0])
+        hit, total, extra = hit + len(want & got), total + len(want), extra + len({g for g in got - want if g[1] > 0 and g[2] < len(text)})
+    assert total > 60 and hit >= 0.8 * total and extra <= 0.1 * total
+
+
 def test_license_weights(spark):
     """All terms weigh by their own document frequency: scores equal a plain count over all terms, whatever the number of files."""
     line = "Licensed under the Apache License, Version 2.0 or later"

@@ -11,14 +11,17 @@ windows can't change the result. Each window's best path comes from the CRF (Vit
 whole text is reconciled: spans of one kind that overlap in neighbouring windows are joined, of conflicting
 kinds the set of greatest total score stays, and what overlaps a base span or isn't plausible for its kind goes.
 
-Defined cases: a null or empty text has no spans; null ids and repeated rows are read row by row; an empty table gives
-no rows; further columns are carried only where named.
+Defined cases: a null or empty text has no spans; null ids and repeated rows are read row by row; of sets of conflicting spans
+with equal scores the one that ends first stays; an empty table gives no rows; further columns are carried only where named. A very
+long text costs memory in proportion to its spans and windows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -226,7 +229,7 @@ def example(rng: np.random.Generator, length: int) -> tuple[str, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def train(seed: int = 11, steps: int = 420, batch: int = 48, hidden: int = 16, embed: int = 8, rate: float = 0.02) -> Tagger:
+def train(seed: int = 11, steps: int = 800, batch: int = 48, hidden: int = 16, embed: int = 8, rate: float = 0.02) -> Tagger:
     """Adam on the CRF's likelihood over generated examples."""
     rng = np.random.default_rng(seed)
     w = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
@@ -304,6 +307,8 @@ def reconcile(text: str, found: list[tuple[int, int, int, float]], base: list[tu
             joined[-1][2], joined[-1][3] = max(end, joined[-1][2]), max(score, joined[-1][3])
         else:
             joined.append([kind, start, end, score])
+    base = sorted((a, b) for _, a, b in base)
+    begins, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
     fit = []
     for kind, start, end, score in joined:
         while start < end and text[start] in " \n\t.,;:":
@@ -311,15 +316,27 @@ def reconcile(text: str, found: list[tuple[int, int, int, float]], base: list[tu
         while end > start and text[end - 1] in " \n\t.,;:":
             end -= 1
         inside = start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()
-        if start < end and not inside and ANCHOR.search(text, start, end) and plausible(kind, text[start:end]) and not any(s < end and start < e for _, s, e in base):
+        before = bisect.bisect_left(begins, end)  # base spans that begin before the end; does one of them reach in?
+        meets = before > 0 and reach[before - 1] > start
+        if start < end and not inside and not meets and ANCHOR.search(text, start, end) and plausible(kind, text[start:end]):
             fit.append((end, start, kind, score))
     fit.sort()
-    best: list[tuple[float, list]] = [(0.0, [])]
-    for k, (end, start, kind, score) in enumerate(fit):  # of overlapping spans, the set of greatest total score
-        j = next((i for i in range(k, 0, -1) if fit[i - 1][0] <= start), 0)
-        with_it = (best[j][0] + score, best[j][1] + [(kind, start, end)])
-        best.append(max(best[-1], with_it, key=lambda x: x[0]))
-    return best[-1][1]
+    ends = [f[0] for f in fit]
+    # of overlapping spans, the set of greatest total score; back has, for each span, where the set goes on if the span is taken
+    best, back = [0.0], []
+    for k, (_, start, _, score) in enumerate(fit):
+        j = bisect.bisect_right(ends, start, 0, k)
+        back.append(j if best[j] + score > best[-1] else -1)
+        best.append(max(best[-1], best[j] + score))
+    out, k = [], len(fit)
+    while k:
+        if back[k - 1] < 0:
+            k -= 1
+        else:
+            end, start, kind, _ = fit[k - 1]
+            out.append((kind, start, end))
+            k = back[k - 1]
+    return out[::-1]
 
 
 def added_spans(net: Tagger, batch: list[str], bases: list[list[tuple[int, int, int]]], group: int = 512) -> list[list[tuple[int, int, int]]]:
