@@ -136,11 +136,13 @@ def test_setjoin_edges(docs, empty):
     assert by[0].component_id == 0 and by[0].n_shingles == 0 and by[1].component_id == 1
     assert by[3].n_shingles == 1
     assert by[6].component_id == 2  # the row that repeats id 2 has the same text
+    none = [(r.n_shingles, r.component_id) for r in got if r.doc_id is None]
+    assert none == [(1, None)]  # three words are one shingle
     assert setjoin.jaccard_components(empty).count() == 0
 
 
-def test_setjoin_random(spark):
-    """Families of copies with edits, of small and large sets, and a passage that many share."""
+def test_setjoin_random(spark, monkeypatch):
+    """Families of copies with edits, of small and large sets, and a passage that many share: by subsets and by lists, whole or in blocks."""
     rng = np.random.default_rng(5)
     word = lambda: f"w{rng.integers(0, 400)}"
     passage = [word() for _ in range(55)]
@@ -155,8 +157,18 @@ def test_setjoin_random(spark):
                 texts.append((n, " ".join(copy + (passage if rng.random() < 0.3 else []))))
                 n += 1
     rows, expected = spark.createDataFrame(texts, "doc_id long, text string"), brute_components(texts)
-    for rounds in (2, 0):  # without early rounds the last one finds all links
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(rows, rounds=rounds).collect()} == expected
+    for rounds, block, edge in ((2, 20_000, None), (0, 20_000, 0), (2, 3, 0), (2, 3, 60), (0, 5, 13)):  # without early rounds the last one finds all links
+        monkeypatch.setattr(setjoin, "LIST_ROWS", block)
+        if edge is not None:
+            monkeypatch.setattr(setjoin, "boundary", lambda *_, edge=edge: edge)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(rows, rounds=rounds).collect()} == expected, (rounds, block, edge)
+
+
+def test_boundary_follows_cost():
+    """Subsets where lists are long, lists where they are short."""
+    sizes = np.concatenate([np.arange(6, 60), np.full(50, 235)])
+    found = [setjoin.boundary(sizes, 85, others) for others in (0.0, 0.25, 1.0, 10.0)]
+    assert found[0] <= 6 and found == sorted(found) and found[1] >= 13 and found[3] >= 40
 
 
 @pytest.mark.parametrize("n", [1, 6, 63, 64, 65, 128, 129, 511, 1024, 1025, 3000])

@@ -3,7 +3,7 @@
 Links first shrink inside each partition to a forest (union by smallest id). Then, until nothing changes: every node hands
 its larger neighbours its smallest one (large star), and its smaller neighbours likewise (small star). Minima are
 aggregated before the shuffle and joined back, so no task holds a node's whole neighbourhood. Each round is
-written to the shared folder. Rounds grow with the logarithm of the longest path.
+written to the shared folder. Rounds grow with the logarithm of the longest path; if `rounds` don't do, that is an error.
 """
 
 from __future__ import annotations
@@ -66,4 +66,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(links.select("v", "v").distinct())
