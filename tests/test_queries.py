@@ -36,6 +36,38 @@ def test_star_is_one_scan(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def plan_of(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    df = core.case(name)(spark, str(DATA))
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_filters_are_pushed_down(spark):
+    assert "LessThan(c_acctbal,100.5)" in plan_of(spark, "filter_number_pushed") and "EqualTo(c_nationkey,4)" in plan_of(spark, "filter_number_pushed")
+    assert "LessThan(c_acctbal,100.5)" in plan_of(spark, "filter_lt_num") and "EqualTo(c_nationkey,4)" in plan_of(spark, "filter_eq_iri")
+    assert "GreaterThanOrEqual(l_quantity,40" in plan_of(spark, "filter_ge_num")
+
+
+def test_variable_predicate_is_one_scan(spark):
+    assert plan_of(spark, "pattern_bound_s").count("FileScan") == 1
+    assert plan_of(spark, "bgp_star_bound_objects").count("FileScan") == 2
+
+
+def test_joins_by_stored_keys(spark):
+    plan = plan_of(spark, "bgp_path")
+    assert "concat(<urn:nation" not in plan
+
+
+def test_counted_side_is_broadcast(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that only the engine's own choice shows
+    try:
+        assert "BroadcastHashJoin" in plan_of(spark, "join_broadcast")
+        assert "__salt" in plan_of(spark, "join_skew")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_bound_object_is_pushed_down(spark):
     plan = core.case("pattern_bound_o")(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan

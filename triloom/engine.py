@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .conf import Conf
 from .operators.compiler import Compiler
 from .plans.cache import PlanCache
+from .plans.cost import Cost, estimate
 from .plans.parser import parse, split_queries
 from .sources.ntriples import read_ntriples
 from .sources.sinks import Recorder, write_tsv
@@ -24,11 +25,15 @@ class Engine:
 
     @classmethod
     def from_ntriples(cls, spark: SparkSession, path: str | list[str], conf: Conf | None = None, dedupe: bool = False, cache: bool = False) -> Engine:
-        return cls(read_ntriples(spark, path, dedupe), conf, cache)
+        return cls(read_ntriples(spark, path, dedupe, bool(conf and conf.keep_tags)), conf, cache)
 
     def query(self, text: str) -> DataFrame:
-        """Solutions (or triples of a CONSTRUCT, or the answer of an ASK) as a lazy DataFrame."""
-        return Compiler(self.source, self.conf, self.cache).compile(parse(text)).frame
+        """Solutions (or triples of a CONSTRUCT or DESCRIBE, or the answer of an ASK) as a lazy DataFrame."""
+        return Compiler(self.source, self.conf, self.cache).compile(parse(text, self.conf.keep_tags)).shown().frame
+
+    def cost(self, text: str) -> Cost:
+        """What the planner thinks that a query costs."""
+        return estimate(parse(text, self.conf.keep_tags), self.source, self.conf)
 
     def run_file(self, text: str, out: str, overwrite: bool = False) -> list[str]:
         """Run the queries of a query file's text; each result goes to <out>/<n>-output as tab-separated text."""

@@ -1,17 +1,16 @@
-"""Algebra to DataFrames. Each variable is a column; kinds tell term columns from computed ones."""
+"""Algebra to DataFrames. Each variable is a column; kinds tell term columns from stored and computed ones."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import Conf
-from ..functions.expressions import as_bool, as_number, as_term, as_text, compile_expression
-from ..functions.terms import as_literal
+from ..functions.expressions import Value, as_bool, as_number, as_term, as_text, compile_expression, is_stored, sort_key, stored_equal
 from ..plans import cost
-from ..plans.algebra import BGP, Ask, Const, Construct, Distinct, Exists, Extend, Filter, Group, LeftJoin, Minus, NJoin, Order, Pattern, Project, Slice, Union, UnsupportedQuery, Var, pattern_variables
+from ..plans.algebra import BGP, Ask, Const, Construct, Distinct, Exists, Extend, Filter, Group, LeftJoin, Minus, NJoin, Order, Pattern, Project, Slice, Union, UnsupportedQuery, Values, Var, pattern_variables
 from ..plans.order import order_joins
 from ..plans.sampling import estimate_join
 from .joins import compatible_join, natural_join, skew_join
@@ -25,8 +24,23 @@ class Solutions:
     kinds: dict[str, str]
     maybe: frozenset
 
-    def values(self) -> dict:
-        return {c: (F.col(f"`{c}`"), self.kinds.get(c, "term")) for c in self.frame.columns}
+    def kind(self, c: str) -> str:
+        return self.kinds.get(c, "term")
+
+    def values(self) -> dict[str, Value]:
+        return {c: (F.col(f"`{c}`"), self.kind(c)) for c in self.frame.columns}
+
+    def with_terms(self, columns) -> Solutions:
+        """The same with these columns as terms."""
+        some = {c for c in columns if self.kind(c) != "term"}
+        if not some:
+            return self
+        frame = self.frame.select(*[(as_term(v) if c in some else v[0]).alias(c) for c, v in self.values().items()])
+        return Solutions(frame, {c: k for c, k in self.kinds.items() if c not in some}, self.maybe)
+
+    def shown(self) -> Solutions:
+        """The same with stored values as terms."""
+        return self.with_terms([c for c in self.frame.columns if is_stored(self.kind(c))])
 
 
 @dataclass(frozen=True)
@@ -44,40 +58,40 @@ class Compiler:
 
     # patterns and joins
 
-    def pattern(self, p: Pattern) -> DataFrame:
+    def pattern(self, p: Pattern) -> Solutions:
         """Solutions of a triple pattern; without variables, a row for each match and no meaningful column."""
         bound = [x.term if isinstance(x, Const) else None for x in (p.s, p.p, p.o)]
-        df = self.source.pattern(*bound)
+        df, kinds = self.source.pattern(*bound)
         places: dict[str, str] = {}
         for name, x in (("s", p.s), ("p", p.p), ("o", p.o)):
             if isinstance(x, Var):
                 if x.name in places:
-                    df = df.where(F.col(places[x.name]) == F.col(name))
+                    df = df.where(same_term((F.col(places[x.name]), kinds.get(places[x.name], "term")), (F.col(name), kinds.get(name, "term"))))
                 else:
                     places[x.name] = name
         if not places:  # an existence check
-            return df.limit(1).select()
-        df = df.select(*[F.col(c).alias(v) for v, c in places.items()])
-        return df.distinct() if self.conf.distinct_preprocessing else df
+            return Solutions(df.limit(1).select(), {}, frozenset())
+        return self.distinct_if_wanted(df.select(*[F.col(c).alias(v) for v, c in places.items()]), {v: kinds[c] for v, c in places.items() if c in kinds})
 
-    def star(self, node: Star) -> DataFrame:
+    def star(self, node: Star) -> Solutions:
         source = self.source.star([p.p.term for p in node.patterns])
-        df, columns, equal = source.frame, {node.subject.name: source.subject()}, []
+        df, columns, equal = source.whole(), {node.subject.name: source.subject()}, []
         for p in node.patterns:
-            column = self.source.column(source, p.p.term)
+            value = source.object(self.source.column(source, p.p.term))
             if isinstance(p.o, Const):
-                c = source.value_filter(column, p.o.term)
-                df = df.where(F.lit(False) if c is None else c)
+                df = df.where(stored_equal(value, p.o.term))
                 continue
-            df = df.where(F.col(column).isNotNull())
+            df = df.where(value[0].isNotNull())
             if p.o.name in columns:
-                equal.append(columns[p.o.name] == source.object(column))
+                equal.append(same_term(columns[p.o.name], value))
             else:
-                columns[p.o.name] = source.object(column)
+                columns[p.o.name] = value
         for c in equal:
             df = df.where(c)
-        df = df.select(*[c.alias(v) for v, c in columns.items()])
-        return df.distinct() if self.conf.distinct_preprocessing else df
+        return self.distinct_if_wanted(df.select(*[c.alias(v) for v, (c, _) in columns.items()]), {v: k for v, (_, k) in columns.items()})
+
+    def distinct_if_wanted(self, df: DataFrame, kinds: dict[str, str]) -> Solutions:
+        return Solutions(df.distinct() if self.conf.distinct_preprocessing else df, kinds, frozenset())
 
     def grouped(self, patterns: tuple) -> list:
         """Patterns with stars merged: those of one subject variable with bound predicates of one keyed table."""
@@ -94,16 +108,20 @@ class Compiler:
     def inputs_cost(self, node) -> cost.Cost:
         if isinstance(node, Star):
             return cost.scan(min(cost.pattern_rows(p, self.source, self.conf) for p in node.patterns), self.conf)
-        if isinstance(node, Pattern):
-            return cost.scan(cost.pattern_rows(node, self.source, self.conf), self.conf)
-        return cost.scan(1e6, self.conf)
+        return cost.estimate(node, self.source, self.conf)
+
+    def most_rows(self, node) -> int | None:
+        """Rows that a pattern or star can't exceed, by counts of its predicates; None if nothing is counted."""
+        patterns = node.patterns if isinstance(node, (Star, BGP)) else [node] if isinstance(node, Pattern) else []
+        counts = [self.source.rows(p.p.term if isinstance(p.p, Const) else None) for p in patterns]
+        return min((n for n in counts if n is not None), default=None)
 
     def sample_pair(self, left, right) -> float | None:
         key = (left, right)
         if key not in self.estimates:
-            a, b = self.frame(left), self.frame(right)
-            on = [c for c in a.columns if c in b.columns]
-            self.estimates[key] = estimate_join(a, b, on, self.conf.sample_rate, self.conf.sampling_threshold) if on else None
+            a, b = self.same_kinds(self.tree(left), self.tree(right))
+            on = [c for c in a.frame.columns if c in b.frame.columns]
+            self.estimates[key] = estimate_join(a.frame, b.frame, on, self.conf.sample_rate, self.conf.sampling_threshold) if on else None
         got = self.estimates[key]
         return None if got is None else got.rows
 
@@ -115,30 +133,38 @@ class Compiler:
         if not self.conf.optimize:
             return NJoin(tuple(inputs))
         shown = [as_shown(x) for x in inputs]
-        tree = order_joins(shown, [self.inputs_cost(x) for x in inputs], self.conf, self.sample_pair if self.conf.cost_calculator == "sampling" else None)
-        return tree
+        sampler = self.sample_pair if "sampling" in self.conf.cost_calculator else None
+        return order_joins(shown, [self.inputs_cost(x) for x in inputs], self.conf, sampler)
 
-    def frame(self, node) -> DataFrame:
-        """DataFrame of a pattern, star or tree of joins."""
+    def tree(self, node) -> Solutions:
+        """Solutions of a pattern, star or tree of joins."""
         if isinstance(node, BGP):
             return self.star(Star(node.patterns, node.patterns[0].s))
         if isinstance(node, Star):
             return self.star(node)
         if isinstance(node, Pattern):
             return self.pattern(node)
-        out = None
-        rest = [(n, self.frame(n)) for n in node.parts]
+        # inputs that are counted to be small are broadcast; the largest goes first, so that it isn't
+        parts = sorted(node.parts, key=lambda n: -(self.most_rows(n) or float("inf")))
+        rest, out = [(n, self.tree(n)) for n in parts], None
         while rest:  # an input that shares a variable comes before one that doesn't
-            k = next((i for i, (_, df) in enumerate(rest) if out is None or set(df.columns) & set(out.columns)), 0)
-            n, df = rest.pop(k)
-            out = df if out is None else self.join(out, df, (node.parts[0], n) if len(node.parts) == 2 else None)
+            k = next((i for i, (_, s) in enumerate(rest) if out is None or set(s.frame.columns) & set(out.frame.columns)), 0)
+            n, s = rest.pop(k)
+            out = s if out is None else self.join(out, s, self.pair_estimate(node), self.most_rows(n))
         return out
 
-    def join(self, left: DataFrame, right: DataFrame, pair=None) -> DataFrame:
-        estimate = self.estimates.get(pair) if pair else None
+    def pair_estimate(self, node: NJoin):
+        return (self.estimates.get(node.parts) or self.estimates.get(node.parts[::-1])) if len(node.parts) == 2 else None
+
+    def join(self, a: Solutions, b: Solutions, estimate=None, most: int | None = None) -> Solutions:
+        """Salted if a sample has shown skew, the right broadcast if it is counted to be small, else as Spark decides."""
+        a, b = self.same_kinds(a, b)
         if estimate and self.conf.join_skewness and estimate.skewness > self.conf.join_skewness:
-            return skew_join(left, right, rate=self.conf.sample_rate, dense=self.conf.sampling_threshold, most=self.conf.hot_keys, broadcast_rows=self.conf.in_memory_threshold)
-        return natural_join(left, right)
+            frame = skew_join(a.frame, b.frame, rate=self.conf.sample_rate, dense=self.conf.sampling_threshold, most=self.conf.hot_keys)
+        else:
+            small = most is not None and most <= self.conf.in_memory_threshold
+            frame = natural_join(a.frame, F.broadcast(b.frame) if small else b.frame, small=self.conf.in_memory_threshold)
+        return Solutions(frame, a.kinds | b.kinds, a.maybe | b.maybe)
 
     # algebra
 
@@ -151,28 +177,34 @@ class Compiler:
     def on_bgp(self, node: BGP) -> Solutions:
         if not node.patterns:
             return Solutions(self.source.spark.range(1).select(), {}, frozenset())
-        return Solutions(self.frame(self.ordered(node.patterns)), {}, frozenset())
+        return self.tree(self.ordered(node.patterns))
+
+    def on_values(self, node: Values) -> Solutions:
+        """Constants, as a local table."""
+        schema = ", ".join(f"`{n}` string" for n in node.names)
+        frame = self.source.spark.createDataFrame([tuple(r) for r in node.rows], schema)
+        return Solutions(frame, {}, frozenset(n for k, n in enumerate(node.names) if any(r[k] is None for r in node.rows)))
 
     def same_kinds(self, a: Solutions, b: Solutions) -> tuple[Solutions, Solutions]:
         """Shared columns of different kinds become terms."""
-        for c in set(a.frame.columns) & set(b.frame.columns):
-            if a.kinds.get(c, "term") != b.kinds.get(c, "term"):
-                a, b = (Solutions(x.frame.withColumn(c, as_literal(F.col(c)) if c in x.kinds else F.col(c)), {k: v for k, v in x.kinds.items() if k != c}, x.maybe) for x in (a, b))
-        return a, b
+        differ = [c for c in a.frame.columns if c in b.frame.columns and a.kind(c) != b.kind(c)]
+        return a.with_terms(differ), b.with_terms(differ)
 
     def both(self, a: Solutions, b: Solutions, how: str) -> Solutions:
         a, b = self.same_kinds(a, b)
         shared = set(a.frame.columns) & set(b.frame.columns)
         maybe = shared & (a.maybe | b.maybe)
         if self.conf.strict_optional and maybe:
-            frame = compatible_join(a.frame, b.frame, maybe, how)
+            frame = compatible_join(a.frame, b.frame, maybe, how, self.conf.in_memory_threshold)
         else:
-            frame = natural_join(a.frame, b.frame, how)
+            frame = natural_join(a.frame, b.frame, how, self.conf.in_memory_threshold)
         unbound = a.maybe | b.maybe | ((set(b.frame.columns) - shared) if how == "left" else frozenset())
         return Solutions(frame, a.kinds | b.kinds, frozenset(unbound))
 
     def on_njoin(self, node: NJoin) -> Solutions:
-        rest = [self.compile(p) for p in node.parts]
+        """Parts in the order of their estimated rows, those that share a variable first."""
+        parts = sorted(node.parts, key=lambda p: cost.estimate(p, self.source, self.conf).rows) if self.conf.optimize else list(node.parts)
+        rest = [self.compile(p) for p in parts]
         out = rest.pop(0)
         while rest:
             k = next((i for i, s in enumerate(rest) if set(s.frame.columns) & set(out.frame.columns)), 0)
@@ -217,16 +249,15 @@ class Compiler:
 
     def on_union(self, node: Union) -> Solutions:
         parts = [self.compile(p) for p in node.parts]
-        kinds = {}
-        for c in {c for p in parts for c in p.frame.columns}:
-            seen = {p.kinds.get(c, "term") for p in parts if c in p.frame.columns}
-            kinds[c] = seen.pop() if len(seen) == 1 else "term"
-        out, maybe = None, frozenset().union(*(p.maybe for p in parts))
+        differ = [c for c in {c for p in parts for c in p.frame.columns} if len({p.kind(c) for p in parts if c in p.frame.columns}) > 1]
+        parts = [p.with_terms(set(differ) & set(p.frame.columns)) for p in parts]
+        every = {c for p in parts for c in p.frame.columns}
+        out, kinds, maybe = None, {}, frozenset().union(*(p.maybe for p in parts))
         for p in parts:
-            df = p.frame.select(*[(as_literal(F.col(c)) if kinds[c] == "term" and p.kinds.get(c, "term") != "term" else F.col(f"`{c}`")).alias(c) for c in p.frame.columns])
-            maybe |= {c for c in kinds if c not in p.frame.columns}
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-        return Solutions(out, {c: k for c, k in kinds.items() if k != "term"}, maybe)
+            kinds |= p.kinds
+            maybe |= every - set(p.frame.columns)
+            out = p.frame if out is None else out.unionByName(p.frame, allowMissingColumns=True)
+        return Solutions(out, kinds, maybe)
 
     def on_filter(self, node: Filter) -> Solutions:
         s = self.compile(node.child)
@@ -265,9 +296,11 @@ class Compiler:
         if a.name == "count":
             return (F.count_distinct(v[0]) if a.distinct else F.count(v[0])), "num"
         if a.name in ("sum", "avg"):
-            c = as_number(v)
+            c = as_number(v).cast("double") if is_stored(v[1]) else as_number(v)
             return {("sum", False): F.sum, ("sum", True): F.sum_distinct, ("avg", False): F.avg, ("avg", True): lambda x: F.sum_distinct(x) / F.count_distinct(x)}[a.name, a.distinct](c), "num"
         if a.name in ("min", "max"):
+            if v[1] == "term" or v[1].startswith("id:"):  # by the order of terms: numbers by their value
+                return (F.min_by if a.name == "min" else F.max_by)(as_term(v), sort_key(v)), "term"
             return (F.min if a.name == "min" else F.max)(v[0]), v[1]
         if a.name == "sample":
             return F.min(v[0]), v[1]  # any value will do; the least one is the same on every run
@@ -275,22 +308,30 @@ class Compiler:
         return F.array_join(F.sort_array(texts), a.separator), "str"
 
     def on_project(self, node: Project) -> Solutions:
-        s = self.compile(node.child)
-        columns = [F.col(f"`{n}`") if n in s.frame.columns else F.lit(None).cast("string").alias(n) for n in node.names]
-        return Solutions(s.frame.select(*columns), {c: k for c, k in s.kinds.items() if c in node.names}, s.maybe | (frozenset(node.names) - set(s.frame.columns)))
+        return self.projected(self.compile(node.child), node.names)
+
+    def projected(self, s: Solutions, names, more=()) -> Solutions:
+        columns = [F.col(f"`{n}`") if n in s.frame.columns else F.lit(None).cast("string").alias(n) for n in names]
+        return Solutions(s.frame.select(*columns, *more), {c: k for c, k in s.kinds.items() if c in names}, s.maybe | (frozenset(names) - set(s.frame.columns)))
 
     def on_distinct(self, node: Distinct) -> Solutions:
-        if isinstance(node.child, Project) and isinstance(node.child.child, Order):  # distinct first: a shuffle would undo the order
-            order = node.child.child
-            if all(isinstance(e, Var) and e.name in node.child.names for e, _ in order.keys):
-                return self.on_order(Order(Distinct(Project(order.child, node.child.names)), order.keys))
-        s = self.compile(node.child)
-        return Solutions(s.frame.distinct(), s.kinds, s.maybe)
+        """Distinct rows; in order, if the rows come ordered: by the least (descending: the greatest) key of equal rows."""
+        if not (isinstance(node.child, Project) and isinstance(node.child.child, Order)):
+            s = self.compile(node.child)
+            return Solutions(s.frame.distinct(), s.kinds, s.maybe)
+        order = node.child.child
+        inner = self.compile(order.child)
+        keys = [sort_key(compile_expression(e, inner.values())) for e, _ in order.keys]
+        keyed = Solutions(inner.frame.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)]), inner.kinds, inner.maybe)
+        s = self.projected(keyed, node.child.names, [f"__k{i}" for i in range(len(keys))])
+        columns = [F.col(f"`{n}`") for n in node.child.names]
+        frame = s.frame.groupBy(*columns).agg(*[(F.min if up else F.max)(f"__k{i}").alias(f"__k{i}") for i, (_, up) in enumerate(order.keys)])
+        frame = frame.orderBy(*[directed(F.col(f"__k{i}"), up) for i, (_, up) in enumerate(order.keys)]).select(*columns)
+        return Solutions(frame, s.kinds, s.maybe)
 
     def on_order(self, node: Order) -> Solutions:
         s = self.compile(node.child)
-        keys = [(lambda c: c.asc_nulls_first() if up else c.desc_nulls_last())(compile_expression(e, s.values())[0]) for e, up in node.keys]
-        return Solutions(s.frame.orderBy(*keys), s.kinds, s.maybe)
+        return Solutions(s.frame.orderBy(*[directed(sort_key(compile_expression(e, s.values())), up) for e, up in node.keys]), s.kinds, s.maybe)
 
     def on_slice(self, node: Slice) -> Solutions:
         s = self.compile(node.child)
@@ -301,7 +342,7 @@ class Compiler:
         """A triple per template and solution; blank nodes are named by a hash of the solution; unbound parts drop the triple."""
         s = self.compile(node.child)
         values, out = s.values(), None
-        row = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(s.frame.columns)]
+        row = [F.coalesce(as_term(values[c]), F.lit("")) for c in sorted(s.frame.columns)]
 
         def part(x):
             if isinstance(x, Const):
@@ -320,6 +361,14 @@ class Compiler:
         return Solutions(s.frame.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer")), {"answer": "bool"}, frozenset())
 
 
+def same_term(a: Value, b: Value) -> Column:
+    return a[0] == b[0] if a[1] == b[1] else as_term(a) == as_term(b)
+
+
+def directed(key: Column, up: bool) -> Column:
+    return key.asc_nulls_first() if up else key.desc_nulls_last()
+
+
 def as_shown(x):
     """An input as the planner sees it: stars as the patterns they stand for."""
     return BGP(x.patterns) if isinstance(x, Star) else x

@@ -63,6 +63,14 @@ class BGP:
     patterns: tuple
 
 
+@dataclass(frozen=True)
+class Values:
+    """Rows of constants; None is unbound."""
+
+    names: tuple
+    rows: tuple
+
+
 @dataclass(frozen=True)
 class NJoin:
     """Joined inputs, in the order the planner chose; each joins on all variables it shares with those before."""
@@ -170,6 +178,6 @@ def pattern_variables(node) -> set[str]:
         return pattern_variables(node.child) | {node.name}
     if isinstance(node, Group):
         return {n for n, _ in node.keys} | {n for n, _ in node.aggregates}
-    if isinstance(node, Project):
+    if isinstance(node, (Project, Values)):
         return set(node.names)
     return pattern_variables(node.child)

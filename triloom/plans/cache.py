@@ -40,7 +40,7 @@ class PlanCache:
         self.hits += 1
         back = {new: old for old, new in names.items()}
         frame = found.frame.select(*[found.frame[c].alias(back[c]) for c in found.frame.columns])
-        return dataclasses.replace(found, frame=frame)
+        return dataclasses.replace(found, frame=frame, kinds={back[c]: k for c, k in found.kinds.items()})
 
     def offer(self, node, got):
         if not isinstance(node, BGP) or len(node.patterns) < 2:
@@ -49,7 +49,7 @@ class PlanCache:
         key = canonical(node, names)
         if key not in self.entries:
             frame = got.frame.select(*[got.frame[c].alias(names[c]) for c in got.frame.columns]).persist(StorageLevel.MEMORY_AND_DISK)
-            self.entries[key] = dataclasses.replace(got, frame=frame)
+            self.entries[key] = dataclasses.replace(got, frame=frame, kinds={names[c]: k for c, k in got.kinds.items()})
             back = {new: old for old, new in names.items()}
             return dataclasses.replace(got, frame=frame.select(*[frame[c].alias(back[c]) for c in frame.columns]))
         return got

@@ -1,8 +1,8 @@
 """Relational tables as virtual triples: <urn:table/key> <urn:p/column> "value", foreign keys as <urn:target/key>.
 
-A pattern with a bound predicate reads one column of one table; patterns of one subject over one table become a single
-scan (no join, since a key names one row); bound subjects and objects become filters on the stored columns, which
-reach the Parquet reader.
+A pattern with a bound predicate reads one column of one table; patterns of one subject over one table whose key names one
+row become a single scan; a variable predicate is one scan of each table. Values stay as they are stored
+(kinds `raw:` and `id:`) until they meet others or are shown, so joins go by stored keys and filters reach the Parquet reader.
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
+from ..functions.expressions import Value, as_term, stored_equal
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """A table: its key columns (none: a hash of all columns), predicate of each column and targets of foreign keys."""
+    """A table: its key column (none: a hash of all columns), predicate of each column, targets of foreign keys, and whether the key
+    names one row (patterns of one subject are then one scan; without that promise they are joined)."""
 
     table: str
     key: str | None
     columns: dict = field(hash=False)
     links: dict = field(default_factory=dict, hash=False)
+    unique: bool = True
 
 
 @dataclass
@@ -33,36 +36,29 @@ class Source:
     frame: DataFrame
     rows: int | None = None
 
-    def subject(self) -> Column:
-        m = self.mapping
-        key = F.col(m.key).cast("string") if m.key else F.hex(F.xxhash64(*sorted(self.frame.columns)))
-        return F.concat(F.lit(f"<urn:{m.table}/"), key, F.lit(">"))
+    def __post_init__(self):
+        self.types = dict(self.frame.dtypes)
 
-    def object(self, column: str) -> Column:
-        c = F.col(column).cast("string")
-        if column in self.mapping.links:
-            return F.concat(F.lit(f"<urn:{self.mapping.links[column]}/"), c, F.lit(">"))
-        return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) if dict(self.frame.dtypes)[column] == "string" else F.concat(F.lit('"'), c, F.lit('"'))
+    def count(self) -> int:
+        if self.rows is None:
+            self.rows = self.frame.count()
+        return self.rows
 
-    def key_filter(self, term: str) -> Column | None:
-        """Rows of a bound subject, null if it can't be one of this table's."""
+    def subject(self) -> Value:
         m = self.mapping
-        prefix = f"<urn:{m.table}/"
-        if not term.startswith(prefix):
-            return None
-        return F.col(m.key) == F.lit(term[len(prefix) : -1]).try_cast(dict(self.frame.dtypes)[m.key]) if m.key else self.subject() == term
-
-    def value_filter(self, column: str, term: str) -> Column | None:
-        """Rows of a bound object."""
-        kind = dict(self.frame.dtypes)[column]
-        if column in self.mapping.links:
-            prefix = f"<urn:{self.mapping.links[column]}/"
-            return F.col(column) == F.lit(term[len(prefix) : -1]).try_cast(kind) if term.startswith(prefix) else None
-        if not term.startswith('"'):
-            return None
-        if kind == "string" and "\\" not in term:
-            return F.col(column) == term[1:-1]
-        return self.object(column) == term
+        return (F.col(m.key), f"id:{m.table}:{self.types[m.key]}") if m.key else (F.hex(F.xxhash64(*sorted(self.frame.columns))), f"id:{m.table}:string")
+
+    def object(self, column: str) -> Value:
+        kind = self.types[column]
+        return F.col(column), f"id:{self.mapping.links[column]}:{kind}" if column in self.mapping.links else f"raw:{kind}"
+
+    def whole(self) -> DataFrame:
+        """Rows that have a subject."""
+        return self.frame.where(F.col(self.mapping.key).isNotNull()) if self.mapping.key else self.frame
+
+
+def never(c: Column | None) -> Column:
+    return F.lit(False) if c is None else c
 
 
 class TableTriples:
@@ -75,70 +71,86 @@ class TableTriples:
             for column, predicate in s.mapping.columns.items():
                 self.by_predicate.setdefault(predicate, []).append((s, column))
 
-    def pattern(self, s: str | None, p: str | None, o: str | None) -> DataFrame:
-        """Triples s, p, o that match the bound positions."""
-        branches = self.by_predicate.get(p, []) if p else [b for bs in self.by_predicate.values() for b in bs]
+    def pattern(self, s: str | None, p: str | None, o: str | None) -> tuple[DataFrame, dict[str, str]]:
+        """Triples s, p, o that match the bound positions, and the kinds of those columns that aren't terms."""
+        if p is None:
+            parts = [(self.any_predicate(source, s, o), {}) for source in self.sources]
+        else:
+            parts = [self.one_predicate(source, column, s, o) for source, column in self.by_predicate.get(p, [])]
+        if len(parts) == 1:
+            return parts[0]
         out = None
-        for source, column in branches:
-            df = source.frame
-            if s is not None:
-                c = source.key_filter(s)
-                if c is None:
-                    continue
-                df = df.where(c)
-            if o is not None:
-                c = source.value_filter(column, o)
-                if c is None:
-                    continue
-                df = df.where(c)
-            part = df.where(F.col(column).isNotNull()).select(source.subject().alias("s"), F.lit(source.mapping.columns[column]).alias("p"), source.object(column).alias("o"))
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], "s string, p string, o string")
+        for df, kinds in parts:
+            df = df.select(*[as_term((F.col(c), kinds.get(c, "term"))).alias(c) for c in df.columns])
+            out = df if out is None else out.unionByName(df)
+        return (out if out is not None else self.spark.createDataFrame([], "s string, p string, o string")), {}
+
+    def one_predicate(self, source: Source, column: str, s: str | None, o: str | None) -> tuple[DataFrame, dict[str, str]]:
+        df, subject, value = source.whole(), source.subject(), source.object(column)
+        if s is not None:
+            df = df.where(never(stored_equal(subject, s)))
+        df = df.where(value[0].isNotNull() if o is None else never(stored_equal(value, o)))
+        return df.select(subject[0].alias("s"), F.lit(source.mapping.columns[column]).alias("p"), value[0].alias("o")), {"s": subject[1], "o": value[1]}
+
+    def any_predicate(self, source: Source, s: str | None, o: str | None) -> DataFrame:
+        """All triples of a table from one scan; a bound object first keeps the rows that have it in any column."""
+        df, subject, columns = source.whole(), source.subject(), source.mapping.columns
+        if s is not None:
+            df = df.where(never(stored_equal(subject, s)))
+        if o is not None:
+            some = F.lit(False)
+            for c in columns:
+                some = some | F.coalesce(never(stored_equal(source.object(c), o)), F.lit(False))
+            df = df.where(some)
+        triples = F.array(*[F.struct(F.lit(p).alias("p"), as_term(source.object(c)).alias("o")) for c, p in columns.items()])
+        df = df.select(as_term(subject).alias("s"), F.explode(triples).alias("t")).select("s", "t.p", "t.o").where("o is not null")
+        return df if o is None else df.where(F.col("o") == o)
 
     def star(self, predicates: list[str]) -> Source | None:
         """The one table that has all these predicates, if no other table has any of them and its key names one row."""
         owners = [{id(s): s for s, _ in self.by_predicate.get(p, [])} for p in predicates]
         if not owners or any(len(x) != 1 for x in owners) or len({next(iter(x)) for x in owners}) != 1:
             return None
-        return next(iter(owners[0].values()))
+        found = next(iter(owners[0].values()))
+        return found if found.mapping.unique else None
 
     def column(self, source: Source, predicate: str) -> str:
         return next(c for s, c in self.by_predicate[predicate] if s is source)
 
     def rows(self, p: str | None) -> int | None:
         """Number of triples with a predicate, at most (a table's rows, from the files' footers)."""
-        total = 0
-        for source, _ in self.by_predicate.get(p, []) if p else [b for bs in self.by_predicate.values() for b in bs]:
-            if source.rows is None:
-                source.rows = source.frame.count()
-            total += source.rows
-        return total
+        return sum(source.count() for source, _ in (self.by_predicate.get(p, []) if p else [b for bs in self.by_predicate.values() for b in bs]))
 
 
 class FrameTriples:
-    """Triples in a DataFrame of s, p, o."""
+    """Triples in a DataFrame of s, p, o. counted: whether predicates may be counted; most: how many counts are kept."""
 
-    def __init__(self, triples: DataFrame, counted: bool = True):
-        self.spark, self.triples, self.counted, self.counts = triples.sparkSession, triples, counted, None
+    def __init__(self, triples: DataFrame, counted: bool = True, most: int = 10_000):
+        self.spark, self.triples, self.counted, self.most = triples.sparkSession, triples, counted, most
+        self.counts: dict[str, int] | None = None
+        self.total = self.least = 0
 
-    def pattern(self, s: str | None, p: str | None, o: str | None) -> DataFrame:
+    def pattern(self, s: str | None, p: str | None, o: str | None) -> tuple[DataFrame, dict[str, str]]:
         df = self.triples
         for name, value in (("s", s), ("p", p), ("o", o)):
             if value is not None:
                 df = df.where(F.col(name) == value)
-        return df
+        return df, {}
 
     def star(self, predicates: list[str]) -> None:
         return None
 
     def rows(self, p: str | None) -> int | None:
-        """Exact counts by predicate, made once; a graph has few predicates, of those the 10,000 most frequent are kept."""
+        """Rows of a predicate, at most: exact for the most frequent ones; any other has no more than the least of those."""
         if not self.counted:
             return None
         if self.counts is None:
-            got = self.triples.groupBy("p").count().orderBy(F.desc("count")).limit(10_000).collect()
+            by = self.triples.groupBy("p").count()
+            got = by.orderBy(F.desc("count")).limit(self.most).collect()
             self.counts = {r["p"]: r["count"] for r in got}
-        return self.counts.get(p, 0) if p else sum(self.counts.values())
+            self.least = got[-1]["count"] if len(got) == self.most else 0
+            self.total = by.agg(F.sum("count")).first()[0] or 0
+        return self.counts.get(p, self.least) if p else self.total
 
 
 def tagged(columns: str, prefix: str = "") -> dict[str, str]:
@@ -155,9 +167,9 @@ MAPPINGS = [
     Mapping("orders", "o_orderkey", tagged("o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"), {"o_custkey": "customer"}),
     Mapping("lineitem", None, tagged("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
     Mapping("events", "event_id", tagged("ts user_id event_type props") | {"value": "<urn:p/events_value>"}),
-    Mapping("documents", "doc_id", tagged("lang source n_chars") | {"text": "<urn:p/documents_text>"}),
-    Mapping("labels", "doc_id", tagged("quality toxic") | {"doc_id": "<urn:p/labels_doc_id>"}, {"doc_id": "documents"}),
-    Mapping("pages", "page_id", tagged("url html")),
+    Mapping("documents", "doc_id", tagged("lang source n_chars") | {"text": "<urn:p/documents_text>"}, unique=False),
+    Mapping("labels", "doc_id", tagged("quality toxic") | {"doc_id": "<urn:p/labels_doc_id>"}, {"doc_id": "documents"}, unique=False),
+    Mapping("pages", "page_id", tagged("url html"), unique=False),
     Mapping("benchmark", "item_id", {"text": "<urn:p/benchmark_text>"}),
     Mapping("conversations", None, tagged("conv_id turn role") | {"text": "<urn:p/conversations_text>"}),
 ]
