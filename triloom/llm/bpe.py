@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, small_batches, texts
+from .runtime import arrow_schema, ddl, sliced, texts
 
 #: White space as the vocabulary's pattern has it (the Unicode property), whatever a regex library takes \s for.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -203,5 +203,4 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl(schema))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sliced(run), ddl(schema))

@@ -8,8 +8,11 @@ from pyarrow import fs
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """uri has a scheme (see `runtime.shared_dir`); without one a path could mean another file system than Spark's."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"{uri!r} has no scheme")
     return fs.FileSystem.from_uri(uri)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, small_batches, stored, texts
+from .runtime import arrow_schema, ddl, sliced, stored, texts
 
 #: Tokens of the shortest substring that counts, as a power of two.
 SPAN = 8
@@ -296,12 +296,11 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
-    small_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("string").alias("html"))
-    rows = stored(rows.mapInArrow(parse, ddl(PARSED)).select(F.monotonically_increasing_id().alias("row"), "*"), "html-blocks")
-    found = rows.select("host", "article", "zoned", "kept", "other").mapInArrow(pieces, ddl(PIECES))
+    rows = stored(rows.mapInArrow(sliced(parse), ddl(PARSED)).select(F.monotonically_increasing_id().alias("row"), "*"), "html-blocks")
+    found = rows.select("host", "article", "zoned", "kept", "other").mapInArrow(sliced(pieces), ddl(PIECES))
     run, kind = F.col("kind") <= PLAIN_RUN, F.col("kind")
     merged = found.groupBy("host", "hash").agg(
         F.max((kind == PLAIN_RUN).cast("int")).alias("asked"),
@@ -311,7 +310,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     )
     boiler = stored(merged.where("(asked = 1 and runs) or (chrome and main)").select("host", "hash"), "html-repeats")
     # stored tables: the planner knows their sizes, and broadcasts below its threshold only
-    hits = rows.select("row", "host", "zoned", "kept").mapInArrow(asked, ddl(ASKED)).join(boiler, ["host", "hash"])
+    hits = rows.select("row", "host", "zoned", "kept").mapInArrow(sliced(asked), ddl(ASKED)).join(boiler, ["host", "hash"])
     hits = stored(hits.groupBy("row").agg(F.collect_list("hash").alias("repeated")), "html-hits")
     out = rows.select("row", "page_id", "url", "zoned", "kept").join(hits, "row", "left")
-    return out.select("page_id", "url", "zoned", "kept", "repeated").mapInArrow(decide, ddl(EXTRACTED))
+    return out.select("page_id", "url", "zoned", "kept", "repeated").mapInArrow(sliced(decide), ddl(EXTRACTED))

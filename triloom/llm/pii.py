@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .runtime import arrow_schema, ddl, small_batches, texts
+from .runtime import arrow_schema, ddl, sliced, texts
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. A lookbehind keeps the search for ip linear and starts no match elsewhere.
@@ -384,8 +384,7 @@ def find(docs: DataFrame, net: Tagger, *, id_col: str = "doc_id", text_col: str
             counts = [pa.array([sum(s[0] == k for s in b) for b in bases], pa.int64()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(named(b).encode()).hexdigest() for b in bases]), pa.array([named(b + m) for b, m in zip(bases, more, strict=True)])], schema=schema)
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl(schema))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sliced(run), ddl(schema))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -414,5 +413,4 @@ def redact(docs: DataFrame, net: Tagger, *, text_col: str = "text") -> DataFrame
             clean = [None if g is None else masked(g, b + m) if b or m else g for g, b, m in zip(given, bases, added_spans(net, text, bases), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(clean, pa.string()), *batch.columns[at + 1 :]], names=names)
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, to)
+    return docs.mapInArrow(sliced(run), to)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts are long, so far fewer than Spark's default.
+#: Rows that are taken from an Arrow batch at a time. Spark bounds a batch by bytes too (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
 
 
@@ -20,10 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
-        return found.rstrip("/")
+        # with its scheme, so that Spark, Hadoop and Arrow all mean the same file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = tempfile.mkdtemp(prefix="triloom-")
+    found = "file:" + tempfile.mkdtemp(prefix="triloom-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -48,9 +51,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of long texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f over slices of so many rows, which bounds the Python objects alive at once without a session setting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+    return run
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import Reader, Writer
-from .runtime import arrow_schema, ddl, shared_path, small_batches, stored
+from .runtime import arrow_schema, ddl, shared_path, sliced, stored
 
 BLOCK_LINES = 1000
 
@@ -79,7 +79,6 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     """Write archives and index; returns the captures (key, page_id, file, offset, length) and the directory
     (first, file, offset, length, n_lines)."""
     spark = pages.sparkSession
-    small_batches(spark)
     folder = shared_path(spark, "warc")
     html = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
@@ -102,7 +101,7 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
         if out:
             out.close()
 
-    captures = stored(rows.select("page_id", "url", "html", "least").mapInArrow(archive, ddl(schema)), "captures")
+    captures = stored(rows.select("page_id", "url", "html", "least").mapInArrow(sliced(archive), ddl(schema)), "captures")
     places = arrow_schema(first="string", file="string", offset="long", length="long", n_lines="long")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +126,7 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), places, strict=True)], schema=places)
 
     ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return captures, stored(ordered.mapInArrow(blocks, ddl(places)), "directory")
+    return captures, stored(ordered.mapInArrow(sliced(blocks), ddl(places)), "directory")
 
 
 def block_lines(reader: Reader, file: str, offset: int, length: int) -> list[str]:
@@ -173,4 +172,4 @@ def read(directory: DataFrame) -> DataFrame:
         index.close()
 
     tasks = max(1, directory.count() // 8)
-    return directory.select("file", "offset", "length").repartition(tasks).mapInArrow(run, ddl(schema))
+    return directory.select("file", "offset", "length").repartition(tasks).mapInArrow(sliced(run), ddl(schema))
