@@ -5,7 +5,8 @@ full pieces as fit, then the binary digits of the rest from the highest to the l
 of its own, in the bucket of its length; all sequences of a bucket have equal length, none crosses documents,
 and none needs padding.
 
-Defined cases: a null or empty text is the end id alone (one piece of length 1); a null id, repeated rows and
+Defined cases: a null or empty text is the end id alone (one piece of length 1); a special token spelt out in a text has its own id, as the
+tokenizer has it; a very long text is one row in a worker; a null id, repeated rows and
 ties pack row by row; an empty table gives no rows; further columns of the input are ignored.
 """
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, small_batches, texts
+from .runtime import arrow_schema, ddl, sliced, texts
 
 #: Distinct words whose ids one Python worker remembers.
 CACHE_WORDS = 700_000
@@ -49,7 +50,6 @@ def word_ids(path: str, words: set[bytes]) -> dict[bytes, bytes]:
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True
     tokenizer = _TOKENIZERS[path]
     mark = np.frombuffer(b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(MARK.decode(), add_special_tokens=False).ids), "<u4")
     plain = [w for w in new if MARK not in w.lower()] if len(mark) == 1 else []
@@ -122,5 +122,4 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                     sequence += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl(schema))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sliced(run), ddl(schema))
