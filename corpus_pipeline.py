@@ -2,6 +2,10 @@
 
 Each stage gets what its predecessor kept. All but the last return the columns of `documents`; the last returns the
 pieces of packed sequences.
+
+Defined cases, for all stages: a null text counts as empty (masking leaves it null); null and repeated ids are rows like others (of
+a group of copies the row with the smallest id stays, null ids last, of several the first); an empty table gives no rows;
+further columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from triloom.llm.runtime import stored
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality network predicts as good; it learns from the labelled rows of the given documents."""
     got = quality_cnn.score(docs, fitted(spark, docs, sf_dir), threshold=0.3, keep=tuple(docs.columns))
-    return got.where("predicted = 1").select(*docs.columns)
+    return got.where("predicted = 1").select("_kept.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: that with the group's smallest id (null ids last), of several with it the first."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    keyed = stored(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row")), "keyed")
     found = setjoin.jaccard_components(keyed, id_col="_row", size=4, percent=85)
     found = stored(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
     # only rows of groups of several are shuffled
@@ -36,7 +40,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = found.join(several, "_group", "left_semi").join(keyed.select("_row", "doc_id"), "_row")
     best = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).getField("_row").alias("_best"))
     dropped = stored(members.join(best, "_group").where("_row <> _best").select("_row"), "dropped")
-    return keyed.join(dropped, "_row", "left_anti").select(*docs.columns)
+    return keyed.join(dropped, "_row", "left_anti").select("_doc.*")
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

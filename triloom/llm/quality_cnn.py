@@ -2,16 +2,15 @@
 
 The UTF-8 bytes of a whole text are dealt to segments of SEGMENT bytes; each two neighbouring segments are a chunk, so
 chunks overlap by half and cover the text. Learned filters of WIDTH bytes run over the learned embeddings of the bytes
-(computed as sums of table rows, one table for each pair of byte places). Beside them a fixed filter copies: it tells at
-each place whether these bytes already stood earlier in the segment. Filters are max-pooled and the copy filter
-is averaged over a chunk; a dense layer follows, its maximum and mean over the chunks give one probability.
+(computed as sums of table rows, one table for each pair of byte places) and are max-pooled over a chunk; a dense layer
+follows, whose maximum and mean over the chunks give one probability.
 
 Trained on the driver from a bounded sample of labelled rows (`rows` of each label and `max_bytes` of text, chosen by a
 hash of the id); the score is corrected back to the labels' own proportions.
 
 Defined cases: a null or empty text is scored as one chunk of zero bytes; without labels of both kinds every
-score is the share of label 1 (0.5 without labels); null ids and repeated rows are scored row by row; an empty
-table gives no rows; further columns are ignored.
+score is the share of label 1 (0.5 without labels); null ids and repeated rows are scored row by row; of rows that share
+a labelled id the least text trains; an empty table gives no rows; further columns are ignored. A very long text goes through in units.
 """
 
 from __future__ import annotations
@@ -23,19 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .runtime import arrow_schema, ddl, small_batches, texts
+from .runtime import arrow_schema, ddl, sliced, texts
 
-SEGMENT, WIDTH, COPY = 256, 6, 8
-#: Weight of the copy filter's shares, which train faster so.
-SCALE = 4.0
+SEGMENT, WIDTH = 256, 6
 #: Bytes taken at once.
 UNIT = 1 << 18
 
 
 @dataclass
 class Net:
-    """embed [256, e], filters [WIDTH, e, f], bias [f], dense [f + 2, h], dense_bias [h], out [2 h], out_bias, shift."""
+    """embed [256, e], filters [WIDTH, e, f], bias [f], dense [f, h], dense_bias [h], out [2 h], out_bias, shift."""
 
     embed: np.ndarray
     filters: np.ndarray
@@ -62,57 +60,52 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[doc] + (np.arange(len(doc)) - first[doc]) * SEGMENT, doc
 
 
-def copies(data: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Whether the COPY bytes at each place stood earlier in its segment."""
-    n = len(data)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([data, np.zeros(COPY, np.uint8)]).astype(np.uint64)
-    for k in range(COPY):
-        key = key * np.uint64(257) + padded[k : k + n]
-    key = (key ^ (segment.astype(np.uint64) << np.uint64(40))) * np.uint64(0x9E3779B97F4A7C15)
-    size = max(10, int(2 * n).bit_length())
-    slot = (key >> np.uint64(64 - size)).astype(np.int64)
-    first = np.zeros(1 << size, np.int32)
-    first[slot[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)
-    seen = first[slot]
-    return (seen < np.arange(n)) & (key[seen] == key)
-
-
 def layout(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (an empty text counts as one zero byte), starts and documents of the segments, and the copy share of each."""
+    """Bytes (an empty text counts as one zero byte) and ends of the texts, starts and documents of the segments."""
     docs = [d or b"\0" for d in docs]
-    data = np.frombuffer(b"".join(docs), np.uint8)
-    starts, owner = segments(np.fromiter(map(len, docs), np.int64, len(docs)))
-    sizes = np.diff(np.append(starts, len(data)))
-    share = np.add.reduceat(copies(data, np.repeat(np.arange(len(starts)), sizes)).astype(np.float32), starts) / sizes
-    return data, starts, owner, share.astype(np.float32)
-
-
-def pair_codes(data: np.ndarray) -> list[np.ndarray]:
-    padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)]).astype(np.int32)
-    codes = padded[:-1] * 256 + padded[1:]
-    return [codes[k : k + len(data)] for k in range(0, WIDTH, 2)]
-
-
-def pooled(data: np.ndarray, starts: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Maximum of each filter over each segment."""
-    codes = pair_codes(data)
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    return np.frombuffer(b"".join(docs), np.uint8), np.cumsum(lengths), *segments(lengths)
+
+
+def shifted(data: np.ndarray, ends: np.ndarray, begin: int, n: int) -> list[np.ndarray]:
+    """For each of the filters' WIDTH places, the bytes that lie so far after each of n places from begin on; zero after a text's end."""
+    part = np.concatenate([data[begin : begin + n + WIDTH], np.zeros(WIDTH, np.uint8)])
+    k = np.arange(np.searchsorted(ends, begin, "right"), min(len(ends), np.searchsorted(ends, begin + n + WIDTH) + 1))
+    end, first = ends[k] - begin, np.where(k > 0, ends[k - 1], 0) - begin
+    out = []
+    for offset in range(WIDTH):
+        x = part[offset : offset + n].copy()
+        for back in range(1, offset + 1):
+            at = end - back
+            x[at[(at >= np.maximum(first, 0)) & (at < n)]] = 0
+        out.append(x)
+    return out
+
+
+def filtered(bytes_: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+    """What the filters give at each place."""
+    codes = [bytes_[k].astype(np.int32) * 256 + bytes_[k + 1] for k in range(0, WIDTH, 2)]
     total = tables[0].take(codes[0], axis=0)
     for code, table in zip(codes[1:], tables[1:], strict=True):
         total += table.take(code, axis=0)
-    return np.maximum.reduceat(total, starts, axis=0)
+    return total
+
+
+def pooled(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, stop: int, tables: list[np.ndarray]) -> np.ndarray:
+    """Maximum of each filter over each segment, the last one of which ends before stop."""
+    return np.maximum.reduceat(filtered(shifted(data, ends, int(starts[0]), stop - int(starts[0])), tables), starts - starts[0], axis=0)
 
 
-def chunked(x: np.ndarray, owner: np.ndarray, how) -> np.ndarray:
-    """Each segment with the next one of its document, if there is one."""
+def chunked(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Maximum of each segment and the next one of its document, if there is one."""
     after = np.append(np.arange(1, len(owner)), len(owner) - 1)
     after = np.where(owner[after] == owner, after, np.arange(len(owner)))
-    return how(x, x[after])
+    return np.maximum(x, x[after])
 
 
-def head(net: Net, peak: np.ndarray, share: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+def head(net: Net, peak: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Logit of each document."""
-    feats = np.concatenate([np.maximum(chunked(peak, owner, np.maximum) + net.bias, 0), SCALE * chunked(share, owner, lambda a, b: (a + b) / 2)[:, None], SCALE * chunked(share, owner, np.maximum)[:, None]], axis=1)
+    feats = np.maximum(chunked(peak, owner) + net.bias, 0)
     hidden = np.maximum(feats @ net.dense + net.dense_bias, 0)
     first = np.searchsorted(owner, np.arange(n))
     counts = np.diff(np.append(first, len(owner)))
@@ -131,42 +124,31 @@ def scores(net: Net, docs: list[bytes], tables: list[np.ndarray] | None = None)
         while end < len(docs) and (end == at or size + len(docs[end]) <= UNIT):
             size += len(docs[end])
             end += 1
-        data, starts, owner, share = layout(docs[at:end])
+        data, ends, starts, owner = layout(docs[at:end])
         peaks, k = [], 0
-        while k < len(starts):  # a unit may be one long text: whole segments at a time, with the bytes that follow
+        while k < len(starts):  # a unit may be one long text: whole segments at a time
             m = max(k + 1, int(np.searchsorted(starts, starts[k] + UNIT, "right")) - 1)
-            stop = len(data) if m >= len(starts) else int(starts[m])
-            got = pooled(data[starts[k] : stop + WIDTH], starts[k:m] - starts[k], tables) if stop == len(data) else pooled_until(data, starts[k:m], stop, tables)
-            peaks.append(got)
+            peaks.append(pooled(data, ends, starts[k:m], len(data) if m >= len(starts) else int(starts[m]), tables))
             k = m
-        logit = head(net, np.concatenate(peaks), share, owner, end - at) + net.shift
+        logit = head(net, np.concatenate(peaks), owner, end - at) + net.shift
         out.append(1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -40, 40))))
         at = end
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def pooled_until(data: np.ndarray, starts: np.ndarray, stop: int, tables: list[np.ndarray]) -> np.ndarray:
-    """pooled() of the places before stop, whose filters may look beyond it."""
-    part = data[starts[0] : stop + WIDTH]
-    codes = [c[: stop - starts[0]] for c in pair_codes(part)]
-    total = tables[0].take(codes[0], axis=0)
-    for code, table in zip(codes[1:], tables[1:], strict=True):
-        total += table.take(code, axis=0)
-    return np.maximum.reduceat(total, starts - starts[0], axis=0)
-
-
-def train(docs: list[bytes], labels: np.ndarray, prior: float, *, seed: int = 7, epochs: int = 12, batch: int = 48, embed: int = 6, filters: int = 16, hidden: int = 8, rate: float = 0.01) -> Net:
-    """Adam on the cross entropy; max-pooling sends each gradient to one place, so a step back is sparse."""
+def train(docs: list[bytes], labels: np.ndarray, prior: float, *, seed: int = 7, epochs: int = 12, steps: int = 400, batch: int = 48, embed: int = 6, filters: int = 24, hidden: int = 8, rate: float = 0.01) -> Net:
+    """Adam on the cross entropy, for `epochs` and `steps` at least; max-pooling sends each gradient to one place, so a step back is sparse."""
     labels = np.asarray(labels, np.float32)
     if len(docs) == 0 or labels.min() == labels.max():
         zero = np.zeros(1, np.float32)
         return Net(zero, zero, zero, zero, zero, zero, zero, constant=prior if len(docs) else 0.5)
     rng = np.random.default_rng(seed)
     normal = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
-    net = Net(normal(256, embed, scale=0.5), normal(WIDTH, embed, filters, scale=0.3), np.zeros(filters, np.float32), normal(filters + 2, hidden, scale=0.3), np.full(hidden, 0.1, np.float32), normal(2 * hidden, scale=0.3), np.zeros(1, np.float32))
+    net = Net(normal(256, embed, scale=0.5), normal(WIDTH, embed, filters, scale=0.3), np.zeros(filters, np.float32), normal(filters, hidden, scale=0.3), np.full(hidden, 0.1, np.float32), normal(2 * hidden, scale=0.3), np.zeros(1, np.float32))
     names = ("embed", "filters", "bias", "dense", "dense_bias", "out", "out_bias")
     mean, square, step = {n: np.zeros_like(getattr(net, n)) for n in names}, {n: np.zeros_like(getattr(net, n)) for n in names}, 0
     laid = [layout([d]) for d in docs]
+    epochs = max(epochs, -(-steps // -(-len(docs) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         lr = rate * (1 - epoch / epochs) + 0.001
@@ -174,10 +156,10 @@ def train(docs: list[bytes], labels: np.ndarray, prior: float, *, seed: int = 7,
             take = order[k : k + batch]
             data = np.concatenate([laid[i][0] for i in take])
             base = np.cumsum([0, *(len(laid[i][0]) for i in take[:-1])])
-            starts = np.concatenate([laid[i][1] + b for i, b in zip(take, base, strict=True)])
-            owner = np.concatenate([np.full(len(laid[i][1]), j) for j, i in enumerate(take)])
-            share = np.concatenate([laid[i][3] for i in take])
-            grads = gradients(net, data, starts, owner, share, labels[take])
+            ends = np.cumsum([len(laid[i][0]) for i in take])
+            starts = np.concatenate([laid[i][2] + b for i, b in zip(take, base, strict=True)])
+            owner = np.concatenate([np.full(len(laid[i][2]), j) for j, i in enumerate(take)])
+            grads = gradients(net, data, ends, starts, owner, labels[take])
             step += 1
             for n in names:
                 g = grads[n]
@@ -190,12 +172,9 @@ def train(docs: list[bytes], labels: np.ndarray, prior: float, *, seed: int = 7,
     return net
 
 
-def gradients(net: Net, data, starts, owner, share, y) -> dict[str, np.ndarray]:
-    codes = pair_codes(data)
-    tables = net.tables()
-    total = tables[0].take(codes[0], axis=0)
-    for code, table in zip(codes[1:], tables[1:], strict=True):
-        total += table.take(code, axis=0)
+def gradients(net: Net, data, ends, starts, owner, y) -> dict[str, np.ndarray]:
+    bytes_ = shifted(data, ends, 0, len(data))
+    total = filtered(bytes_, net.tables())
     peak = np.maximum.reduceat(total, starts, axis=0)
     n, nf = len(y), peak.shape[1]
     after = np.append(np.arange(1, len(owner)), len(owner) - 1)
@@ -203,7 +182,7 @@ def gradients(net: Net, data, starts, owner, share, y) -> dict[str, np.ndarray]:
     right = peak[after] > peak
     chunk = np.where(right, peak[after], peak)
     pre = chunk + net.bias
-    feats = np.concatenate([np.maximum(pre, 0), SCALE * ((share + share[after]) / 2)[:, None], SCALE * np.maximum(share, share[after])[:, None]], axis=1)
+    feats = np.maximum(pre, 0)
     z = feats @ net.dense + net.dense_bias
     hid = np.maximum(z, 0)
     first = np.searchsorted(owner, np.arange(n))
@@ -220,7 +199,7 @@ def gradients(net: Net, data, starts, owner, share, y) -> dict[str, np.ndarray]:
     dh = dboth[owner, :h] * hits + dboth[owner, h:] / counts[owner][:, None]
     dz = dh * (z > 0)
     g["dense"], g["dense_bias"] = feats.T @ dz + 1e-4 * net.dense, dz.sum(0)
-    dpre = (dz @ net.dense[:nf].T) * (pre > 0)
+    dpre = (dz @ net.dense.T) * (pre > 0)
     g["bias"] = dpre.sum(0)
     # to the place of each chunk's maximum
     segment = np.where(right, after[:, None], np.arange(len(owner))[:, None])
@@ -235,10 +214,9 @@ def gradients(net: Net, data, starts, owner, share, y) -> dict[str, np.ndarray]:
     flow = dseg[seg_of, which]
     live = flow != 0
     place, which, flow = place[live], which[live], flow[live]
-    padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     g["embed"], g["filters"] = np.zeros_like(net.embed), np.zeros_like(net.filters)
     for k in range(WIDTH):
-        byte = padded[place + k]
+        byte = bytes_[k][place]
         np.add.at(g["embed"], byte, flow[:, None] * net.filters[k][:, which].T)
         np.add.at(g["filters"][k].T, which, flow[:, None] * net.embed[byte])
     return g
@@ -272,21 +250,17 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
 
 
 def score(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, score and predicted, with the columns named in keep carried along."""
-    carried = [f for f in docs.schema if f.name in keep]
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-
-    to = StructType([*carried, *([] if id_col in keep else [docs.schema[id_col]]), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    names = [f.name for f in to][:-2]
+    """Per row: id, score and predicted, with the columns named in keep as struct `_kept`."""
+    to = StructType([StructField("_kept", StructType([f for f in docs.schema if f.name in keep]) if keep else IntegerType()), StructField(id_col, docs.schema[id_col].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net.constant is None else None
         for batch in batches:
-            got = scores(net, [x.encode("utf-8", "replace") for x in texts(batch.column(batch.num_columns - 1))], tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            got = scores(net, [x.encode("utf-8", "replace") for x in texts(batch.column(2))], tables)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=to.names)
 
-    small_batches(docs.sparkSession)
-    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, to)
+    kept = F.struct(*[F.col(c) for c in docs.columns if c in keep]) if keep else F.lit(None).cast("int")
+    return docs.select(kept.alias("_kept"), F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(sliced(run), to)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 700, max_bytes: int = 6_000_000, max_text: int = 60_000) -> Net:
