@@ -21,6 +21,7 @@ TEXTS = [
     "Mail joe.x@mail3.example.com or call +1 (644) 555-7859 about 10.2.3.44 and 4111 1111 1111 1111 please",
     "word " * 3000, "é ü 日本   x\x1cy", "Licensed under the Apache License, Version 2.0.\nplain text follows here and goes on for a while",
     " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(199)) + " changed", "#### $$$ ||| " * 30,
+    "stop <|endoftext|> here, a<|startoftext|>b and <|endoftext",
 ]
 
 
@@ -40,7 +41,6 @@ def test_packing(docs, empty):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = packing.pack(docs, path, longest=64).collect()
     assert packing.pack(empty, path).count() == 0
     assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 64 for r in got)
@@ -384,14 +384,14 @@ def test_cnn_gradients():
     docs = [bytes(rng.integers(97, 110, int(rng.integers(1, 900))).astype(np.uint8)) for _ in range(6)]
     y = np.array([0, 1, 0, 1, 1, 0], np.float32)
     f = lambda *s: rng.normal(0, 0.4, s).astype(np.float32)
-    net = quality_cnn.Net(f(256, 3), f(quality_cnn.WIDTH, 3, 4), f(4), f(6, 3), f(3) + 0.3, f(6), f(1))
-    data, starts, owner, share = quality_cnn.layout(docs)
+    net = quality_cnn.Net(f(256, 3), f(quality_cnn.WIDTH, 3, 4), f(4), f(4, 3), f(3) + 0.3, f(6), f(1))
+    data, ends, starts, owner = quality_cnn.layout(docs)
 
     def loss():
-        z = quality_cnn.head(net, quality_cnn.pooled(data, starts, net.tables()), share, owner, len(docs)).astype(float)
+        z = quality_cnn.head(net, quality_cnn.pooled(data, ends, starts, len(data), net.tables()), owner, len(docs)).astype(float)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    grads = quality_cnn.gradients(net, data, starts, owner, share, y)
+    grads = quality_cnn.gradients(net, data, ends, starts, owner, y)
     for name in ("filters", "bias", "dense_bias", "out_bias"):
         g, p = grads[name], getattr(net, name)
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
@@ -404,6 +404,33 @@ def test_cnn_gradients():
         assert abs((up - down) / (2 * h) - g[at]) < 0.1 * abs(g[at]) + 1e-3, name
 
 
+def test_cnn_forward_brute_force():
+    """Scores of whole texts against loops over every place, filter and chunk."""
+    rng = np.random.default_rng(2)
+    f = lambda *s: rng.normal(0, 0.4, s).astype(np.float32)
+    net = quality_cnn.Net(f(256, 3), f(quality_cnn.WIDTH, 3, 4), f(4), f(4, 3), f(3) + 0.3, f(6), f(1), shift=0.2)
+    docs = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 5, 255, 256, 257, 700, 1600)]
+    for d, score in zip(docs, quality_cnn.scores(net, docs), strict=True):
+        n, size, data = len(d) or 1, quality_cnn.SEGMENT, d + b"\0" * (quality_cnn.WIDTH + 1)
+        place = [sum(net.embed[data[i + k]] @ net.filters[k] for k in range(quality_cnn.WIDTH)) for i in range(n)]
+        peaks = [np.max(place[i : i + size], axis=0) for i in range(0, n, size)]
+        chunks = [np.maximum(p, q) for p, q in itertools.pairwise(peaks)] + [peaks[-1]]
+        hidden = [np.maximum(np.maximum(c + net.bias, 0) @ net.dense + net.dense_bias, 0) for c in chunks]
+        logit = np.concatenate([np.max(hidden, axis=0), np.mean(hidden, axis=0)]) @ net.out + net.out_bias[0] + net.shift
+        assert abs(1 / (1 + np.exp(-logit)) - score) < 1e-4
+        assert abs(quality_cnn.scores(net, [d])[0] - score) < 1e-6  # whatever texts are scored beside it
+
+
+def test_cnn_held_out(spark):
+    """On rows whose labels it hasn't seen the network of the query tells both kinds apart."""
+    queries = pytest.importorskip("triloom.llm.queries")
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, labels[r.doc_id], r.predicted) for r in queries.op8_quality_classifier(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = ([s for s, y, _ in rows if y == v] for v in (1, 0))
+    assert len(rows) > 50 and np.mean([g > b for g in good for b in bad]) > 0.97 and np.mean([p == y for _, y, p in rows]) > 0.93
+
+
 def test_cnn_scores(spark, docs, empty):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8))))
@@ -415,6 +442,9 @@ def test_cnn_scores(spark, docs, empty):
     got = {r.doc_id: r.score for r in quality_cnn.score(table, net).collect()}
     assert np.mean([got[i] > 0.5 for i in range(60)]) > 0.95 and np.mean([got[i] < 0.5 for i in range(60, 100)]) > 0.9
     assert all(0 <= r.score <= 1 for r in quality_cnn.score(docs, net).collect())
+    clash = docs.selectExpr("doc_id", "text", "1 as score", "'x' as predicted", "2 as _kept", "3 as _text")
+    kept = quality_cnn.score(clash, net, keep=tuple(clash.columns)).select("_kept.*")
+    assert kept.columns == clash.columns and sorted(map(str, kept.collect())) == sorted(map(str, clash.collect()))
     assert quality_cnn.score(empty, net).count() == 0
     none = quality_cnn.fit(table, table.select("doc_id", "quality").limit(0))
     assert {r.score for r in quality_cnn.score(docs, none).collect()} == {0.5}
@@ -638,7 +668,6 @@ def test_pipeline_decisions(spark):
         want.append(type(r)(**{**r.asDict(), "text": text, "n_chars": len(text)}))
     rows = step("personal data", want)
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     expected = {r.doc_id: [*tok.encode(r.text, add_special_tokens=False).ids, 1] for r in rows}
     covered = collections.defaultdict(list)
     for p in pipeline.pack(spark, spark.createDataFrame(rows, docs.schema), sf).collect():

@@ -2,12 +2,14 @@
 
 Vectors are scaled to length 1, where a cosine of t is a distance of eps = sqrt(2 - 2t), and turned to the principal axes of
 a bounded sample (any turn keeps distances, so the sample only steers the work). The leading coordinates name a cell of a
-grid of width eps; vectors are sorted by cell and cut into blocks. Two blocks are joined only if their
-boxes can come within eps; inside a task the two sequences are halved again and again, skipping parts whose boxes are
-too far apart, and the leaves are multiplied in double precision.
+grid of width eps; vectors are sorted by cell and cut into blocks, which go to the shared folder. Only the blocks' boxes (over
+all coordinates) are joined: two blocks meet if their boxes can come within eps. A task gets numbers of blocks and
+fetches them by range reads; there the two sequences are halved again and again, skipping parts whose boxes are
+too far apart. The leaves are multiplied in single precision with a margin for its error, and what may reach
+the threshold is decided in double precision.
 
 Equal vectors join as one class with a count, so copies cost nothing. A pair of blocks yields the number of links of
-each vector and a forest of the linked ones, never the pairs.
+each vector and the least linked one, never the pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, have no links and are their own
 component, as are vectors of different length to each other; rows with equal ids keep their own rows; a null id
@@ -24,11 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
-from .runtime import arrow_schema, ddl, stored
+from .components import components
+from .files import Reader, Writer
+from .runtime import arrow_schema, ddl, shared_path, sliced, stored
 
-#: Coordinates in a cell's name and in a box; vectors of a block and of a leaf.
-CELL_DIMS, BOX_DIMS, BLOCK, LEAF = 6, 12, 512, 64
+#: Coordinates in a cell's name; vectors of a block and of a leaf.
+CELL_DIMS, BLOCK, LEAF = 6, 2048, 256
+#: Pairs of blocks in a task.
+PAIRS = 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -58,9 +63,11 @@ def close_pairs(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, ep
     if apart(box(tx), box(ty), eps):
         return
     if len(x) <= LEAF and len(y) <= LEAF:
-        i, j = np.nonzero(x @ y.T >= t)
-        if len(i):
-            yield i + a, j + b
+        margin = max(1e-4, x.shape[1] * 2.0**-20)  # far beyond the rounding of a single-precision product
+        i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= np.float32(t - margin))
+        close = np.einsum("ij,ij->i", x[i], y[j]) >= t
+        if close.any():
+            yield i[close] + a, j[close] + b
         return
     if len(x) >= len(y):
         h = len(x) // 2
@@ -72,6 +79,18 @@ def close_pairs(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, ep
         yield from close_pairs(x, y[h:], tx, ty[h:], eps, t, a, b + h)
 
 
+def least_linked(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each place the least id that links i, j lead to."""
+    label = ids.copy()
+    while True:
+        before = label.copy()
+        m = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, m)
+        np.minimum.at(label, j, m)
+        if (label == before).all():
+            return label
+
+
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, sample_rows: int = 5000) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     eps = float(np.sqrt(2 - 2 * threshold))
@@ -109,21 +128,24 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(rows), d, np.int32)), *(pa.array(c[:, i]) for i in range(CELL_DIMS)), pa.array(np.ascontiguousarray(y[:, 0])), pa.array([x.tobytes() for x in u], pa.binary())], schema=grid_schema)
 
     order = ["dim", *cells, "y", "cid"]
-    ordered = classes.select("cid", "copies", "v").mapInArrow(grid, ddl(grid_schema)).repartitionByRange(*order).sortWithinPartitions(*order)
-    block_schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("raw", pa.binary())])
+    ordered = classes.select("cid", "copies", "v").mapInArrow(sliced(grid), ddl(grid_schema)).repartitionByRange(*order).sortWithinPartitions(*order)
+    folder = shared_path(vectors.sparkSession, "blocks")
+    numbers = pa.list_(pa.float64())
+    block_schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("lo", numbers), ("hi", numbers), ("n", pa.int64()), ("uri", pa.string()), ("at", pa.int64()), ("bytes", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 36
+        number, out = TaskContext.get().partitionId() << 36, None
         held: list[tuple] = []
 
         def put() -> pa.RecordBatch:
-            nonlocal held, number
+            nonlocal held, number, out
+            out = out or Writer(folder, "block")
             u = np.frombuffer(b"".join(r[3] for r in held)).reshape(len(held), -1)
-            lo, hi = box(turned(u)[:, :BOX_DIMS])
-            ids = np.array([(r[0], r[1]) for r in held], np.int64).tobytes()
-            out = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, held[0][2], lo.tolist(), hi.tolist(), ids, u.tobytes()), block_schema, strict=True)], schema=block_schema)
+            lo, hi = box(turned(u))
+            place = out.append(np.array([(r[0], r[1]) for r in held], np.int64).tobytes() + u.tobytes())
+            got = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, held[0][2], lo.tolist(), hi.tolist(), len(held), out.uri, *place), block_schema, strict=True)], schema=block_schema)
             number, held = number + 1, []
-            return out
+            return got
 
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("cid", "copies", "dim", "raw")), strict=True):
@@ -132,8 +154,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 held.append(row)
         if held:
             yield put()
+        if out:
+            out.close()
 
-    blocks = stored(ordered.select("cid", "copies", "dim", "raw").mapInArrow(cut, "block long, dim int, lo array<double>, hi array<double>, ids binary, raw binary"), "blocks")
+    blocks = stored(ordered.select("cid", "copies", "dim", "raw").mapInArrow(sliced(cut), "block long, dim int, lo array<double>, hi array<double>, n long, uri string, at long, bytes long"), "block-places")
     # boxes that can come within eps share a cell of the two leading axes, if one of them is widened by eps
     cell = lambda x, i: F.floor(F.coalesce(F.get(x, F.lit(i)), F.lit(0.0)) / eps).cast("int")
     spread = lambda df, w: df.withColumn("x", F.explode(F.sequence(cell(F.col("lo"), 0) - w, cell(F.col("hi"), 0) + w))).withColumn("z", F.explode(F.sequence(cell(F.col("lo"), 1) - w, cell(F.col("hi"), 1) + w)))
@@ -141,35 +165,41 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     left = spread(meta, 0)
     right = spread(meta, 1).select(F.col("block").alias("other"), "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "x", "z")
     gap = F.aggregate(F.arrays_zip(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("lo2").alias("c"), F.col("hi2").alias("d")), F.lit(0.0), lambda s, r: s + F.pow(F.greatest(F.lit(0.0), r["a"] - r["d"], r["c"] - r["b"]), F.lit(2.0)))
-    pairs = left.join(right, ["dim", "x", "z"]).where("block <= other").where(gap <= (eps * (1 + 1e-9) + 1e-9) ** 2).select("block", "other").distinct()
-    work = pairs.join(blocks.select("block", "dim", "ids", "raw"), "block").join(blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("raw").alias("raw2")), "other")
+    pairs = stored(left.join(right, ["dim", "x", "z"]).where("block <= other").where(gap <= (eps * (1 + 1e-9) + 1e-9) ** 2).select("block", "other").distinct(), "block-pairs")
+    places = blocks.select("block", "dim", F.struct("n", "uri", "at", "bytes").alias("place"))
+    work = pairs.join(places, "block").join(places.select(F.col("block").alias("other"), F.col("place").alias("place2")), "other")
+    # so many pairs to a task, dealt evenly; those of one block lie together, so that it is fetched once for them
+    tasks = max(1, min(pairs.count() // PAIRS + 1, 20_000))
+    work = work.repartitionByRange(tasks, "block", "other").sortWithinPartitions("block", "other").select((F.col("block") == F.col("other")).alias("same"), "dim", "place.*", *[F.col(f"place2.{c}").alias(f"{c}2") for c in ("n", "uri", "at", "bytes")])
     found_schema = arrow_schema(cid="long", links="long", to="long")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers, last = (Reader(), Reader()), [None, None]
+
+        def fetch(side: int, dim: int, n: int, *place) -> tuple:
+            if last[side] is None or last[side][0] != place:
+                data = readers[side].read(*place)
+                u = np.frombuffer(data, np.float64, offset=16 * n).reshape(n, dim)
+                last[side] = place, np.frombuffer(data, np.int64, 2 * n).reshape(n, 2), u, turned(u)
+            return last[side][1:]
+
         for batch in batches:
-            for same, dim, ids, raw, ids2, raw2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.frombuffer(x, np.int64).reshape(-1, 2) for x in (ids, ids2))
-                x, y = (np.frombuffer(r).reshape(-1, dim) for r in (raw, raw2))
-                tx, ty = turned(x)[:, :BOX_DIMS], turned(y)[:, :BOX_DIMS]
-                links = [np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)]
-                up: dict[int, int] = {}
-                for i, j in close_pairs(x, y, tx, ty, eps, threshold):
-                    if same:
-                        i, j = i[i < j], j[i < j]
-                    if not len(i):
-                        continue
-                    links[0] += np.bincount(i, weights=b[j, 1], minlength=len(a)).astype(np.int64)
-                    links[1] += np.bincount(j, weights=a[i, 1], minlength=len(b)).astype(np.int64)
-                    up = forest([*up.items(), *zip(a[i, 0].tolist(), b[j, 0].tolist(), strict=True)])
-                cid, n = np.concatenate([a[:, 0], b[:, 0]]), np.concatenate(links)
-                cid, n = cid[n > 0], n[n > 0]
-                if len(cid):
-                    yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), pa.array([up[c] for c in cid.tolist()], pa.int64())], schema=found_schema)
-
-    work = work.select((F.col("block") == F.col("other")).alias("same"), "dim", "ids", "raw", "ids2", "raw2")
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    found = stored(work.mapInArrow(join, ddl(found_schema)), "found")
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+            for same, dim, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, x, tx = fetch(0, dim, *place[:4])
+                b, y, ty = fetch(1, dim, *place[4:])
+                parts = [(i[i < j], j[i < j]) if same else (i, j) for i, j in close_pairs(x, y, tx, ty, eps, threshold)]
+                if not sum(len(i) for i, _ in parts):
+                    continue
+                i, j = (np.concatenate(z) for z in zip(*parts, strict=True))
+                ids, copies = np.concatenate([a[:, 0], b[:, 0]]), np.concatenate([a[:, 1], b[:, 1]])
+                j = j + len(a)
+                n = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
+                to, some = least_linked(ids, i, j), n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(to[some])], schema=found_schema)
+        for r in readers:
+            r.close()
+
+    found = stored(work.mapInArrow(sliced(join), ddl(found_schema)), "found")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("u"), F.col("to").alias("v")))
     known = classes.join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("v", "cid", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("root"))
