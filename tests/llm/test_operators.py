@@ -318,8 +318,11 @@ def test_warc(spark):
     rows = [(1, "http://www.example.com/a?b=1#c", "same"), (2, "https://example.com", "same"), (3, None, None), (4, "http://x.example.org:80/ü y", ""), (5, "u\nrl", "é" * 100), (6, "http://www.example.com/a?b=1", "other"), (None, "http://n/", "none")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     captures, directory = warc.write(df)
-    got = {r.page_id: r for r in warc.read(directory).collect()}
+    got = {r.page_id: r for r in warc.read(directory, captures).collect()}
     assert len(got) == len(rows)
+    asked = spark.createDataFrame([("com,example,www)/a?b=1", 6), ("com,example,www)/a?b=1", 6), ("com,example,www)/zzz", 1), ("a", None), ("n)/", None)], "key string, page_id long")
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read(directory, asked).collect() if r.page_id) == [(6, 5)]
+    assert [r.payload_bytes for r in warc.read(directory, asked).collect() if r.page_id is None] == [4]
     for page, _, html in rows:
         data = (html or "").encode()
         assert got[page].payload_bytes == len(data) and got[page].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -328,8 +331,29 @@ def test_warc(spark):
     assert found == ["<urn:page:1>", "<urn:page:6>"]
     assert warc.url_key("http://www.example.com/a?b#c") == "com,example,www)/a?b"
     assert captures.count() == len(rows)
-    _, none = warc.write(df.limit(0))
-    assert warc.read(none).count() == 0
+    nothing, none = warc.write(df.limit(0))
+    assert warc.read(none, nothing).count() == 0
+
+
+def test_warc_many(spark, monkeypatch):
+    """Many captures of few URLs, repeated rows and ids among them, over small blocks and several parts; clashing columns."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 19 == 0 else k // 3 if k % 5 == 0 else k, f"http://h{int(rng.integers(3))}.example/{int(rng.integers(4))}" if k % 7 else None, "x" * int(rng.integers(0, 5)), "a", 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, key string, part long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
+    captures, directory = warc.write(df)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    least = {}
+    for page, _, html, *_ in rows:
+        if page is not None:
+            least[html] = min(page, least.get(html, page))
+    want = collections.Counter()
+    for page, url, html, *_ in rows:
+        kind = "response" if page is None and html not in least or page == least.get(html) else "revisit"
+        want[page, warc.url_key(url), len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode(), kind, least[html] if kind == "revisit" else None] += 1
+    assert collections.Counter(tuple(r) for r in warc.read(directory, captures).collect()) == want
+    assert directory.count() > 40 and directory.select("part").distinct().count() > 1
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]

@@ -47,8 +47,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    captures, directory = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(directory, captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """WARC archives with a two-level capture index.
 
 Tasks write one archive each: a gzip member for every record, responses with their payload, revisits without. The index
-lists the captures by reversed-host URL key (com,example,www)/path) in sorted, compressed blocks of lines; the sparse
-directory has the first key and the place of each block. A lookup binary-searches the directory, reads one block by
-range, binary-searches it, and reads the record by range. Reading everything back goes block by block.
+lists the captures by reversed-host URL key (com,example,www)/path) and page in sorted, compressed blocks of lines; the sparse
+directory has the first capture and the place of each block. A lookup binary-searches the directory, reads one block by
+range, binary-searches it, and reads the record by range. Many lookups at once (all pages, in the query) go to the
+part of the directory that their keys fall into, a part being what one task wrote, and are made there in order, so that each block
+is fetched once.
 
 Each attempt of a task writes files of its own, and the rows that name them are stored, so a lost executor costs
 a repeated task and leaves at most an unnamed file.
 
 Defined cases: a null html is an empty payload; a null url has the key ")"; a null page_id can't be referred to (equal
 payloads without any id are all responses); rows with equal ids and payloads are all of the type that the smallest id has;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns are ignored. A very long payload is one record in a worker's memory.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +80,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """Write archives and index; returns the captures (key, page_id, file, offset, length) and the directory
-    (first, file, offset, length, n_lines)."""
+    (first, file, offset, length, n_lines, first_page, part)."""
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
     html = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
@@ -102,14 +105,15 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
             out.close()
 
     captures = stored(rows.select("page_id", "url", "html", "least").mapInArrow(sliced(archive), ddl(schema)), "captures")
-    places = arrow_schema(first="string", file="string", offset="long", length="long", n_lines="long")
+    places = arrow_schema(first="string", file="string", offset="long", length="long", n_lines="long", first_page="long", part="long")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, lines, got = None, [], []
+        out, lines, got, part = None, [], [], TaskContext.get().partitionId()
 
         def put() -> None:
             nonlocal lines
-            got.append((lines[0].split(" ", 1)[0], out.uri, *out.append(zlib.compress("\n".join(lines).encode())), len(lines)))
+            first, _, rest = lines[0].partition(" ")
+            got.append((first, out.uri, *out.append(zlib.compress("\n".join(lines).encode())), len(lines), json.loads(rest)[0], part))
             lines = []
 
         for batch in batches:
@@ -148,28 +152,68 @@ def lookup(directory: list[tuple], url: str) -> Iterator[tuple[dict[str, str], b
     reader.close()
 
 
-def read(directory: DataFrame) -> DataFrame:
-    """Every capture, by range reads through the index: page_id, url_key, payload_bytes, payload_digest, record_type,
-    refers_to. The payload of a response is checked against its digest."""
-    schema = arrow_schema(page_id="long", url_key="string", payload_bytes="long", payload_digest="string", record_type="string", refers_to="long")
+RECORDS = arrow_schema(page_id="long", url_key="string", payload_bytes="long", payload_digest="string", record_type="string", refers_to="long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, index = Reader(), Reader()
+
+def told(member: bytes, page: int | None, key: str) -> tuple:
+    """What a record says of its capture, as a row of RECORDS. The payload of a response is checked against its digest."""
+    fields, payload = parse(member)
+    kind, stated = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and digest(payload) != stated:
+        raise ValueError(f"damaged record of page {page}")
+    refers = int(fields["WARC-Refers-To"][len("<urn:page:") : -1]) if kind == "revisit" else None
+    return page, key, len(payload) if kind == "response" else int(fields["X-Payload-Length"]), stated, kind, refers
+
+
+def place_of(key: str, page: int | None) -> tuple:
+    """Order of captures in the index; no page id comes first."""
+    return key, page is not None, page or 0
+
+
+def read(directory: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records of all wanted captures (key, page_id; each once, however often it is named), by binary searches and range reads:
+    page_id, url_key, payload_bytes, payload_digest, record_type, refers_to."""
+    # one row for each task that wrote blocks
+    firsts = directory.groupBy("part").agg(F.min(F.struct("first", "first_page")).alias("f")).select("part", "f.*").collect()
+    firsts = sorted((place_of(r["first"], r["first_page"]), r["part"]) for r in firsts)
+    bounds, parts = [f for f, _ in firsts], [p for _, p in firsts]
+    asked = arrow_schema(part="long", key="string", page_id="long")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = [(json.loads(x), k) for k, _, x in (line.partition(" ") for line in block_lines(index, file, offset, length))]
-                out = []
-                for (page, at, start, size), key in sorted(lines, key=lambda x: (x[0][1], x[0][2])):
-                    fields, payload = parse(reader.read(at, start, size))
-                    kind, told = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(payload) != told:
-                        raise ValueError(f"damaged record of page {page}")
-                    refers = int(fields["WARC-Refers-To"][len("<urn:page:") : -1]) if kind == "revisit" else None
-                    n = len(payload) if kind == "response" else int(fields["X-Payload-Length"])
-                    out.append((page, key, n, told, kind, refers))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        reader.close()
+            out = []
+            for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = place_of(key, page)
+                # equal captures may lie in several parts
+                out += [(parts[k], key, page) for k in range(max(0, bisect.bisect_left(bounds, at) - 1), bisect.bisect_right(bounds, at))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), asked, strict=True)], schema=asked)
+
+    def find(wanted_: pa.Table, blocks: pa.Table) -> pa.Table:
+        index, reader, out = Reader(), Reader(), []
+        rows = sorted((place_of(r["first"], r["first_page"]), r["file"], r["offset"], r["length"]) for r in blocks.to_pylist())
+        starts, held, loaded = [r[0] for r in rows], None, -1
+        found: list[tuple] = []
+        for at in sorted(place_of(r["key"], r["page_id"]) for r in wanted_.to_pylist()):
+            k = max(0, bisect.bisect_left(starts, at) - 1)
+            while k < len(rows) and starts[k] <= at:
+                if k != loaded:
+                    out += records(reader, found)
+                    lines = [line.partition(" ") for line in block_lines(index, *rows[k][1:])]
+                    entries = [(key, json.loads(x)) for key, _, x in lines]
+                    held, loaded, found = ([place_of(key, x[0]) for key, x in entries], entries), k, []
+                lo, hi = bisect.bisect_left(held[0], at), bisect.bisect_right(held[0], at)
+                found += held[1][lo:hi]
+                k += 1
+        out += records(reader, found)
         index.close()
+        reader.close()
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(RECORDS), RECORDS, strict=True)], schema=RECORDS)
+
+    requests = wanted.select("key", F.col("page_id").cast("long")).distinct().mapInArrow(sliced(deal), ddl(asked))
+    return requests.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(find, ddl(RECORDS))
+
 
-    tasks = max(1, directory.count() // 8)
-    return directory.select("file", "offset", "length").repartition(tasks).mapInArrow(sliced(run), ddl(schema))
+def records(reader: Reader, entries: list[tuple]) -> list[tuple]:
+    """Rows of index entries (key, [page, file, offset, length]), read in the order of their places."""
+    return [told(reader.read(file, at, size), page, key) for key, (page, file, at, size) in sorted(entries, key=lambda e: (e[1][1], e[1][2]))]
