@@ -220,6 +220,51 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_ids_and_blocks(spark, monkeypatch):
+    """Null and repeated ids, over blocks and leaves of a few vectors, with far clusters that are never compared."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embed_dedup, "LEAF", 3)
+    rng = np.random.default_rng(12)
+    a, b, far = rng.normal(size=8), rng.normal(size=8), rng.normal(size=(60, 8))
+    rows = [(None, a), (None, a), (7, a + 0.001), (None, b), (7, b), (9, far[0]), (9, far[0]), (None, far[1])] + [(100 + k, v) for k, v in enumerate(far[2:])]
+    rows += [(300 + k, a + 0.002 * k) for k in range(30)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], "c", 1) for i, v in rows], "vec_id long, embedding array<double>, cid string, block int").repartition(3)
+    units = embed_dedup.unit(np.array([v for _, v in rows]))
+    near = units @ units.T >= 0.95
+    want = collections.Counter()
+    roots = components.forest([(x, y) for x in range(len(rows)) for y in range(x + 1) if near[x, y]])
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[m][0] for m in roots if roots[m] == roots[k] and rows[m][0] is not None]
+        least = min(ids, default=None)
+        want[i, int(near[k].sum()) - 1, least, i is not None and i == least] += 1
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()) == want
+
+
+def test_close_pairs():
+    """Recursive halving in single precision with a margin gives the pairs of the plain product in double precision."""
+    rng = np.random.default_rng(13)
+    x = embed_dedup.unit(np.concatenate([rng.normal(size=(300, 24)), np.repeat(rng.normal(size=(20, 24)), 20, axis=0) + rng.normal(size=(400, 24)) * 0.2]))
+    eps = float(np.sqrt(2 - 2 * 0.95))
+    got = {(int(p), int(q)) for i, j in embed_dedup.close_pairs(x, x, x, x, eps, 0.95) for p, q in zip(i, j, strict=True)}
+    i, j = np.nonzero(np.einsum("ik,jk->ij", x, x) >= 0.95)
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes each goes through whole."""
+    words = " ".join(f"w{i}" for i in range(400_000))
+    mail = "joe@mail.example.com "
+    page = spark.createDataFrame([(1, "http://a/", f"<article><p>{words}</p></article><footer>x</footer>"), (2, "http://a/2", f"<div>{words} end</div>")], "page_id long, url string, html string")
+    assert [r.text for r in sorted(html_text.extract(page).collect())] == [words, words + " end"]
+    captures, directory = warc.write(page)
+    assert sorted(r.payload_bytes for r in warc.read(directory, captures).collect()) == sorted(len(r.html) for r in page.collect())
+    text = spark.createDataFrame([(1, mail * 60_000 + words)], "doc_id long, text string")
+    assert pii.find(text, pii.train()).first().n_email == 60_000
+    assert setjoin.jaccard_components(text).first().n_shingles > 399_000
+    got = packing.pack(text, P.path("word_bpe_49k.json")).collect()
+    assert sum(r.length for r in got) == got[0].doc_tokens > 1_000_000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><aside>Side</aside><div id="cookie-notice">Cookies</div>
 <article><h1>Title &amp; more</h1><p><b>First  line<br>goes on &eacute;&#x41;.</p><p>Second<p>Third {n}<form><input>no</form><div class="comments"><p>A reader</p></div></article>
@@ -615,6 +660,29 @@ def test_deduplicate_by_row(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(None, a), (5, c), (3, b), (8, d), (9, ""), (None, "")])
 
 
+def test_pipeline_edges(spark):
+    """All stages on null and repeated ids, null and empty texts, columns with the stages' own names, and an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 800 and 4000").orderBy("doc_id").limit(4).collect()]
+    rows = [(None, good[0]), (None, good[0]), (1, good[1]), (1, good[2]), (2, good[1]), (3, None), (4, ""), (None, None), (5, good[3] + " call (644) 555-7859")]
+    names = "lang string, source string, n_chars long, score string, predicted int, kept string, _kept int, _row string, _group string, _doc string, component_id string, set string, key string, base_failed int"
+    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), "s", 1, "k", 2, "r", "g", "d", "c", "x", "y", 3) for i, t in rows], f"doc_id long, text string, {names}").repartition(3)
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf).cache()
+            assert kept.columns == docs.columns
+        last = pipeline.STAGES[-1][1](spark, kept, sf)
+        assert last.count() >= kept.count()
+        if table is docs:
+            assert all((r.score, r.predicted, r.kept, r._kept, r._row, r._group, r._doc, r.key) == ("s", 1, "k", 2, "r", "g", "d", "y") for r in kept.collect())
+    only = pipeline.deduplicate(spark, docs, sf).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in only) == collections.Counter([(None, good[0]), (1, good[1]), (1, good[2]), (3, None), (4, ""), (None, None), (5, good[3] + " call (644) 555-7859")])
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
+
+
 def test_pipeline(spark):
     """Decisions of all stages on a small corpus: junk, short texts and copies go, personal data are masked, pieces add up."""
     pipeline = pytest.importorskip("corpus_pipeline")

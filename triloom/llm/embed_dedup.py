@@ -99,7 +99,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     sound = (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
     given = given.withColumn("v", F.when(F.col("v").isNotNull() & sound, F.col("v")))
     classes = given.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    classes = stored(classes.select("v", "least", "copies", F.coalesce("least", F.xxhash64("v")).alias("cid")), "classes")
+    classes = stored(classes.select("v", "least", "copies", F.monotonically_increasing_id().alias("cid")), "classes")
     total = classes.count()
     some = classes.sample(min(1.0, sample_rows / max(1, total)), seed=3).select("v").limit(2 * sample_rows).toArrow()["v"].to_pylist() if total else []
     turn: dict[int, np.ndarray] = {}
