@@ -111,7 +111,7 @@ CASES: dict[str, tuple[str, str, str, str]] = {
     "subquery": ("orders customer", "SELECT ?n ?k { ?c p:c_name ?n { SELECT ?c (COUNT(?o) AS ?k) { ?o p:o_custkey ?c } GROUP BY ?c HAVING(COUNT(?o) > 14) } }", "n:string k:.long", "select c_name as n, k from customer join (select o_custkey, count(*) as k from orders group by 1 having count(*) > 14) on o_custkey = c_custkey"),
     "join_reordered": ("customer orders nation region", 'SELECT ?o ?rn { ?o p:o_custkey ?c ; p:o_orderstatus "P" . ?c p:c_nationkey ?n . ?n p:n_regionkey ?r . ?r p:r_name ?rn }', "o:id rn:string", "select o_orderkey as o, r_name as rn from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where o_orderstatus = 'P'"),
     "join_broadcast": ("lineitem part", 'SELECT ?b (SUM(?q) AS ?q2) (COUNT(*) AS ?n) { ?l p:l_partkey ?p ; p:l_quantity ?q . ?p p:p_brand ?b ; p:p_size 7 } GROUP BY ?b', "b:string q=q2:round2 n:.long", "select p_brand as b, round(sum(l_quantity), 2) as q, count(*) as n from lineitem join part on l_partkey = p_partkey where p_size = 7 group by 1"),
-    "join_skew": ("SKEWED lineitem orders", 'SELECT ?s (COUNT(*) AS ?n) (MAX(?q) AS ?most) { ?l p:l_orderkey ?o ; p:l_quantity ?q . ?o p:o_orderstatus ?s } GROUP BY ?s', "s:string n:.long most:double", "select o_orderstatus as s, count(*) as n, max(l_quantity) as most from lineitem join orders on l_orderkey = o_orderkey group by 1"),
+    "join_skew": ("SKEWED customer nation", "SELECT ?x (COUNT(*) AS ?n) (MAX(?b) AS ?most) { ?c p:c_nationkey ?k ; p:c_acctbal ?b . ?k p:n_name ?x } GROUP BY ?x", "x:string n:.long most:double", "select n_name as x, count(*) as n, max(c_acctbal) as most from customer join nation on c_nationkey = n_nationkey group by 1"),
     "distinct_order_expr": ("lineitem", "SELECT DISTINCT ?q { ?l p:l_quantity ?q } ORDER BY DESC(xsd:double(?q) * 2) LIMIT 9", "q:double", "select distinct l_quantity as q from lineitem order by q desc limit 9"),
     "distinct_order_other": ("orders", "SELECT DISTINCT ?c { ?o p:o_custkey ?c ; p:o_totalprice ?t } ORDER BY ?t LIMIT 12", "c:id", "select o_custkey as c from orders group by 1 order by min(o_totalprice) limit 12"),
     "max_untyped_number": ("NUMBERS", "SELECT (MAX(?v) AS ?hi) (MIN(?v) AS ?lo) { ?c <urn:key> ?v }", "hi:long lo:long", "select max(c_custkey) as hi, min(c_custkey) as lo from customer"),
@@ -157,7 +157,7 @@ def iri_of(c: Column) -> Column:
     return F.concat(F.lit("<urn:customer/"), c.cast("string"), F.lit(">"))
 
 
-FLAGS = {"DISTINCT": Conf(distinct_preprocessing=True), "STRICT": Conf(strict_optional=True), "SAMPLED": Conf(cost_calculator="sampling", sampling_threshold=20, static_prune=1.0), "SKEWED": Conf(cost_calculator="sampling", sampling_threshold=20, join_skewness=0.5, in_memory_threshold=0), "TAGGED": Conf(keep_tags=True)}
+FLAGS = {"DISTINCT": Conf(distinct_preprocessing=True), "STRICT": Conf(strict_optional=True), "SAMPLED": Conf(cost_calculator="sampling", sampling_threshold=20, static_prune=1.0), "SKEWED": Conf(cost_calculator="sampling", sample_rate=0.5, sampling_threshold=4, join_skewness=0.01, in_memory_threshold=0), "TAGGED": Conf(keep_tags=True)}
 
 
 def case(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -19,7 +19,8 @@ from ..functions.expressions import Value, as_term, stored_equal
 @dataclass(frozen=True)
 class Mapping:
     """A table: its key column (none: a hash of all columns), predicate of each column, targets of foreign keys, and whether the key
-    names one row (patterns of one subject are then one scan; without that promise they are joined)."""
+    names one row. That is a promise of who writes the mapping: patterns of one subject are then one scan, else they are joined,
+    and rows that share a key combine as their triples do."""
 
     table: str
     key: str | None
@@ -71,10 +72,11 @@ class TableTriples:
             for column, predicate in s.mapping.columns.items():
                 self.by_predicate.setdefault(predicate, []).append((s, column))
 
-    def pattern(self, s: str | None, p: str | None, o: str | None) -> tuple[DataFrame, dict[str, str]]:
-        """Triples s, p, o that match the bound positions, and the kinds of those columns that aren't terms."""
+    def pattern(self, s: str | None, p: str | None, o: str | None, resource: bool = False) -> tuple[DataFrame, dict[str, str]]:
+        """Triples s, p, o that match the bound positions, and the kinds of those columns that aren't terms; resource: literals are not
+        wanted as objects, as they have to be a subject elsewhere."""
         if p is None:
-            parts = [(self.any_predicate(source, s, o), {}) for source in self.sources]
+            parts = [(self.any_predicate(source, s, o, resource), {}) for source in self.sources if source.mapping.links or not resource]
         else:
             parts = [self.one_predicate(source, column, s, o) for source, column in self.by_predicate.get(p, [])]
         if len(parts) == 1:
@@ -92,9 +94,10 @@ class TableTriples:
         df = df.where(value[0].isNotNull() if o is None else never(stored_equal(value, o)))
         return df.select(subject[0].alias("s"), F.lit(source.mapping.columns[column]).alias("p"), value[0].alias("o")), {"s": subject[1], "o": value[1]}
 
-    def any_predicate(self, source: Source, s: str | None, o: str | None) -> DataFrame:
+    def any_predicate(self, source: Source, s: str | None, o: str | None, resource: bool = False) -> DataFrame:
         """All triples of a table from one scan; a bound object first keeps the rows that have it in any column."""
-        df, subject, columns = source.whole(), source.subject(), source.mapping.columns
+        df, subject = source.whole(), source.subject()
+        columns = {c: p for c, p in source.mapping.columns.items() if c in source.mapping.links or not resource}
         if s is not None:
             df = df.where(never(stored_equal(subject, s)))
         if o is not None:
@@ -130,7 +133,7 @@ class FrameTriples:
         self.counts: dict[str, int] | None = None
         self.total = self.least = 0
 
-    def pattern(self, s: str | None, p: str | None, o: str | None) -> tuple[DataFrame, dict[str, str]]:
+    def pattern(self, s: str | None, p: str | None, o: str | None, resource: bool = False) -> tuple[DataFrame, dict[str, str]]:
         df = self.triples
         for name, value in (("s", s), ("p", p), ("o", o)):
             if value is not None:
@@ -167,9 +170,9 @@ MAPPINGS = [
     Mapping("orders", "o_orderkey", tagged("o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"), {"o_custkey": "customer"}),
     Mapping("lineitem", None, tagged("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
     Mapping("events", "event_id", tagged("ts user_id event_type props") | {"value": "<urn:p/events_value>"}),
-    Mapping("documents", "doc_id", tagged("lang source n_chars") | {"text": "<urn:p/documents_text>"}, unique=False),
-    Mapping("labels", "doc_id", tagged("quality toxic") | {"doc_id": "<urn:p/labels_doc_id>"}, {"doc_id": "documents"}, unique=False),
-    Mapping("pages", "page_id", tagged("url html"), unique=False),
+    Mapping("documents", "doc_id", tagged("lang source n_chars") | {"text": "<urn:p/documents_text>"}),
+    Mapping("labels", "doc_id", tagged("quality toxic") | {"doc_id": "<urn:p/labels_doc_id>"}, {"doc_id": "documents"}),
+    Mapping("pages", "page_id", tagged("url html")),
     Mapping("benchmark", "item_id", {"text": "<urn:p/benchmark_text>"}),
     Mapping("conversations", None, tagged("conv_id turn role") | {"text": "<urn:p/conversations_text>"}),
 ]
