@@ -25,13 +25,26 @@ from pyspark.sql import functions as F
 from .runtime import arrow_schema, ddl, sliced, texts
 
 #: Distinct words whose ids one Python worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 #: A word of the vocabulary that stands between others.
 MARK = b"amazon"
 _WORDS: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict = {}
 
 
+def tokenizers(path: str) -> tuple:
+    """The tokenizer as it is; one that knows no special tokens, which is faster; the special tokens; the MARK's id or None."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        whole, fast = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        fast.encode_special_tokens = True
+        mark = fast.encode(MARK.decode(), add_special_tokens=False).ids
+        _TOKENIZERS[path] = whole, fast, [t.content.encode() for t in whole.get_added_tokens_decoder().values()], mark[0] if len(mark) == 1 else None
+    return _TOKENIZERS[path]
+
+
 def word_ids(path: str, words: set[bytes]) -> dict[bytes, bytes]:
     """Ids of each word (UTF-8) as little-endian unsigned 32-bit integers, from a cache that lasts as long as the worker.
 
@@ -39,31 +52,30 @@ def word_ids(path: str, words: set[bytes]) -> dict[bytes, bytes]:
     of its words.
     """
     known = _WORDS.setdefault(path, {})
-    new = [w for w in words if w not in known]
+    new = words.difference(known)
     if not new:
         return known
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()
-        new = list(words)
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    tokenizer = _TOKENIZERS[path]
-    mark = np.frombuffer(b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(MARK.decode(), add_special_tokens=False).ids), "<u4")
-    plain = [w for w in new if MARK not in w.lower()] if len(mark) == 1 else []
-    apart = [w for w in new if MARK in w.lower()] if len(mark) == 1 else new
-    for w, got in zip(apart, tokenizer.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False), strict=True):
+        new = words
+    whole, fast, special, mark = tokenizers(path)
+    plain, apart = list(new), []
+    # what spells the mark or a special token goes alone, if anything does
+    joined = b"\n".join(plain)
+    if mark is None:
+        plain, apart = [], plain
+    elif MARK in joined.lower() or any(t in joined for t in special):
+        alone = [MARK in w.lower() or any(t in w for t in special) for w in plain]
+        plain, apart = ([w for w, x in zip(plain, alone, strict=True) if x == y] for y in (False, True))
+    for w, got in zip(apart, whole.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False), strict=True):
         known[w] = np.asarray(got.ids, "<u4").tobytes()
     # many words in one call, with a word between them whose one id they can't hold
     groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-    for part, got in zip(groups, tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+    for part, got in zip(groups, fast.encode_batch_fast([(b" " + MARK + b" ").join(g).decode() for g in groups], add_special_tokens=False), strict=True):
         ids = np.asarray(got.ids, "<u4")
-        cuts = np.flatnonzero(ids == mark[0])
-        raw, starts, ends = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-        for w, a, b in zip(part, starts, ends, strict=True):
-            known[w] = raw[a:b]
+        cuts = 4 * np.flatnonzero(ids == mark)
+        raw = ids.tobytes()
+        known.update(zip(part, [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
     return known
 
 
@@ -79,7 +91,7 @@ def document_ids(path: str, batch: list[str], group: int = 2_000_000) -> Iterato
         split = [x.encode("utf-8", "replace").split() for x in batch[at:end]]
         known = word_ids(path, set().union(*split))
         for ws in split:
-            yield b"".join([known[w] for w in ws])
+            yield b"".join(map(known.__getitem__, ws))
         at = end
 
 
