@@ -140,6 +140,36 @@ select doc_id, own as own_license, round(score, 6) as own_score, inherited as in
 """
 
 
+#: White space of the vocabulary's pattern as RE2 has to be told, and a private character that parts texts before the last blank of a run.
+RE2_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def op6_sql() -> str:
+    """Plain byte-pair merging: every word from its bytes, one merge at a time, over the vocabulary file."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    words = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{RE2_SPACE}\\p{{L}}\\p{{N}}]+|[{RE2_SPACE}]+".replace("'", "''")
+    return f"""
+with recursive vocabulary as materialized (select hex(from_base64(t)) as h, r::int as rank from read_csv('{path}', delim=' ', header=false, quote='', escape='', columns={{'t': 'varchar', 'r': 'int'}})),
+merges as materialized (select a.rank as a, b.rank as b, v.rank as rank from (select h, rank, unnest(range(1, len(h) // 2)) as k from vocabulary) v
+  join vocabulary a on a.h = left(v.h, 2 * k) join vocabulary b on b.h = substr(v.h, 2 * k + 1)),
+docs as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+parts as (select r, unnest(range(len(p))) as i, unnest(p) as part from (select r, string_split(regexp_replace(text, '([{RE2_SPACE}])([{RE2_SPACE}][^{RE2_SPACE}])', '\\1' || chr(57344) || '\\2', 'g'), chr(57344)) as p from docs)),
+words as materialized (select r, i, unnest(range(len(w))) as j, unnest(w) as word from (select r, i, regexp_extract_all(part, '{words}') as w from parts)),
+bytes as materialized (select word, i, v.rank as token from (select word, x, unnest(range(len(x) // 2)) as i from (select distinct word, hex(encode(word)) as x from words)) join vocabulary v on v.h = substr(x, 2 * i + 1, 2)),
+ranked as (select word, i, token, m.rank from (select *, lead(token) over (partition by word order by i) as after from bytes) s left join merges m on m.a = s.token and m.b = s.after),
+state(word, t, m) as (
+  select word, list(token order by i), list(coalesce(rank, 2000000000) order by i) from ranked group by word
+  union all
+  select word, t[1:i - 1] || [least] || t[i + 2:], m[1:greatest(i - 2, 0)] || (case when i > 1 then [coalesce(x.rank, 2000000000)] else []::int[] end) || [coalesce(y.rank, 2000000000)] || m[i + 2:]
+  from (select word, t, m, least, list_position(m, least) as i from (select *, list_min(m) as least from state) where least < 2000000000) s
+  left join merges x on x.a = t[i - 1] and x.b = least left join merges y on y.a = least and y.b = t[i + 2]),
+ended as (select word, unnest(range(len(t))) as k, unnest(t) as token from state where list_min(m) = 2000000000),
+spelt as materialized (select word, count(*) as n, string_agg(printf('%02X%02X%02X%02X', token & 255, (token >> 8) & 255, (token >> 16) & 255, token >> 24), '' order by k) as ids, string_agg(v.h, '' order by k) as h from ended join vocabulary v on v.rank = token group by word),
+got as (select r, sum(n) as n, string_agg(ids, '' order by i, j) as ids, string_agg(h, '' order by i, j) as h from words join spelt using (word) group by r)
+select doc_id, coalesce(n, 0)::bigint as n_tokens, sha256(unhex(coalesce(ids, ''))) as ids_sha256, sha256(unhex(coalesce(h, ''))) as decoded_sha256 from docs left join got using (r)
+"""
+
+
 OP9 = r"""
 with docs as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
 words as (select r, doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from docs),
@@ -183,4 +213,4 @@ from documents d left join sizes s using (doc_id) left join (select id, min(node
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op3_license_scan": op3_sql(), "op5_warc": OP5, "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op3_license_scan": op3_sql(), "op5_warc": OP5, "op6_byte_bpe": op6_sql(), "op9_quality_rules": OP9, "op10_ngram_jaccard": OP10}
