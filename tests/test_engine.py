@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from triloom.__main__ import main
 from triloom.conf import Conf
 from triloom.engine import Engine
 from triloom.operators.joins import compatible_join, product, skew_join
@@ -279,3 +280,32 @@ def test_stored_values(spark):
         "SELECT ?s { <urn:t/2> <f> ?s }", "SELECT ?s { <urn:t/02> <f> ?s }", "CONSTRUCT { ?o <r> ?s } { ?s <f> ?o }", "SELECT (STR(?s) AS ?t) { ?s <d> ?d }",
     ):
         assert rows(Engine(source).query(text)) == rows(Engine(triples).query(text)), text
+
+
+@pytest.mark.parametrize("call", ["<urn:f>()", "<urn:f>(?n)", "<urn:f>(?x, ?n)", "strlen(?x, ?n)", "lang()"])
+def test_unknown_calls(engine, call):
+    """Functions with no, one or several arguments that aren't known by name and number raise."""
+    with pytest.raises(UnsupportedFunction):
+        engine.query(f"SELECT ?x {{ ?x <name> ?n FILTER({call}) }}")
+
+
+def test_blank_node_constant():
+    with pytest.raises((SyntaxError, UnsupportedQuery)):
+        parse("SELECT ?x { ?x <name> ?n FILTER(?x = _:b) }")
+
+
+def test_main(spark, tmp_path, monkeypatch):
+    """A file of queries over N-Triples, with settings from a file; results are replaced only if that is asked for."""
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "in.nt").write_text('<a> <n> "x" .\n<b> <n> "y"@en .\n')
+    (tmp_path / "q").write_text("#Q\nSELECT ?o { <b> <n> ?o }\n#Q\n// left out\n#Q\nSELECT (COUNT(*) AS ?n) { ?s ?p ?o }\n")
+    (tmp_path / "c.ini").write_text("keep.tags=true\nstatistics.file=cost.csv\n")
+    assert main(["in.nt"]) == 2
+    assert main([str(tmp_path / "in.nt"), str(tmp_path / "q"), str(tmp_path / "out"), str(tmp_path / "c.ini")]) == 0
+    read = lambda k: "".join(f.read_text() for f in (tmp_path / f"out/{k}-output").glob("part-*"))
+    assert (read(0), read(1)) == ('"y"@en\n', "2\n") and len((tmp_path / "cost.csv").read_text().splitlines()) == 3
+    e = Engine.from_ntriples(spark, str(tmp_path / "in.nt"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        e.run_file("SELECT ?o { <a> <n> ?o }", str(tmp_path / "out"))
+    e.run_file("SELECT ?o { <a> <n> ?o }", str(tmp_path / "out"), overwrite=True)
+    assert read(0) == '"x"\n'
