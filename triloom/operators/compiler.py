@@ -13,7 +13,7 @@ from ..plans import cost
 from ..plans.algebra import BGP, Ask, Const, Construct, Distinct, Exists, Extend, Filter, Group, LeftJoin, Minus, NJoin, Order, Pattern, Project, Slice, Union, UnsupportedQuery, Values, Var, pattern_variables
 from ..plans.order import order_joins
 from ..plans.sampling import estimate_join
-from .joins import compatible_join, natural_join, skew_join
+from .joins import compatible_join, narrow, natural_join, skew_join
 
 
 @dataclass
@@ -159,12 +159,12 @@ class Compiler:
         return (self.estimates.get(node.parts) or self.estimates.get(node.parts[::-1])) if len(node.parts) == 2 else None
 
     def join(self, a: Solutions, b: Solutions, estimate=None, most: int | None = None) -> Solutions:
-        """Salted if a sample has shown skew, the right broadcast if it is counted to be small, else as Spark decides."""
+        """Salted if a sample has shown skew, the right broadcast if it is counted to be small and narrow, else as Spark decides."""
         a, b = self.same_kinds(a, b)
         if estimate and self.conf.join_skewness and estimate.skewness > self.conf.join_skewness:
             frame = skew_join(a.frame, b.frame, rate=self.conf.sample_rate, dense=self.conf.sampling_threshold, most=self.conf.hot_keys)
         else:
-            small = most is not None and most <= self.conf.in_memory_threshold
+            small = most is not None and most <= self.conf.in_memory_threshold and narrow(b.frame)
             frame = natural_join(a.frame, F.broadcast(b.frame) if small else b.frame, small=self.conf.in_memory_threshold)
         return Solutions(frame, a.kinds | b.kinds, a.maybe | b.maybe)
 

@@ -7,8 +7,13 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast once they are counted.
-SMALL = 100_000
+#: Rows up to which a side is broadcast once they are counted, and bytes that the optimizer may expect of it.
+SMALL, BROADCAST_BYTES = 100_000, 64 << 20
+
+
+def narrow(df: DataFrame) -> bool:
+    """Whether the optimizer expects no more than BROADCAST_BYTES (few rows may hold long texts)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", small: int = SMALL) -> DataFrame:
@@ -20,10 +25,11 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", small: i
 def product(left: DataFrame, right: DataFrame, how: str = "inner", small: int = SMALL) -> DataFrame:
     """All pairs of rows; `left` keeps rows of the left if the right has none. A side that is counted to be small is broadcast, two
     large ones are paired partition by partition."""
-    if right.limit(small + 1).count() <= small:
+    few = right.limit(small + 1).count()
+    if few == 0 or few <= small and narrow(right):
         return left.join(F.broadcast(right), F.lit(True), how)
     # the right has rows, so a left join is a product too
-    if left.limit(small + 1).count() <= small:
+    if narrow(left) and left.limit(small + 1).count() <= small:
         return F.broadcast(left).crossJoin(right)
     return left.crossJoin(right.hint("shuffle_replicate_nl"))
 
