@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, stored
+from .runtime import arrow_schema, ddl, discard, stored
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -65,7 +65,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # all links now point from the larger to the smaller id
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, links = links, stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(links.select("v", "v").distinct())

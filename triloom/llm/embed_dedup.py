@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .files import Reader, Writer
-from .runtime import arrow_schema, ddl, shared_path, sliced, stored
+from .runtime import arrow_schema, ddl, discard, remove, shared_path, sliced, stored
 
 #: Coordinates in a cell's name; vectors of a block and of a leaf.
 CELL_DIMS, BLOCK, LEAF = 6, 2048, 256
@@ -204,6 +204,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     roots = components(found.select(F.col("cid").alias("u"), F.col("to").alias("v")))
     known = classes.join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("v", "cid", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("root"))
     known = stored(known, "known")
+    for done in (classes, blocks, pairs, found):
+        discard(done)
+    remove(vectors.sparkSession, folder)
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     per_class = known.join(smallest, "root").select("v", "copies", "links", "component_id")
     out = given.join(per_class, "v", "left")
