@@ -53,6 +53,11 @@ def test_variable_predicate_is_one_scan(spark):
     assert plan_of(spark, "bgp_star_bound_objects").count("FileScan") == 2
 
 
+def test_variables_read_only_tables_that_they_can_name(spark):
+    plan = plan_of(spark, "bgp_two_shared_vars")
+    assert plan.count("FileScan") == 3 and "explode" not in plan and "concat(<urn:customer" not in plan.split("Join", 1)[1]
+
+
 def test_joins_by_stored_keys(spark):
     plan = plan_of(spark, "bgp_path")
     assert "concat(<urn:nation" not in plan

@@ -55,15 +55,15 @@ class Compiler:
     def __init__(self, source, conf: Conf, cache=None):
         self.source, self.conf, self.cache = source, conf, cache
         self.estimates: dict = {}
-        #: Variables that are a subject in the basic graph pattern at hand.
-        self.subjects: set[str] = set()
+        #: Tables whose keys a variable of the basic graph pattern at hand can name.
+        self.domains: dict[str, set[str]] = {}
 
     # patterns and joins
 
     def pattern(self, p: Pattern) -> Solutions:
         """Solutions of a triple pattern; without variables, a row for each match and no meaningful column."""
         bound = [x.term if isinstance(x, Const) else None for x in (p.s, p.p, p.o)]
-        df, kinds = self.source.pattern(*bound, resource=isinstance(p.o, Var) and p.o.name in self.subjects)
+        df, kinds = self.source.pattern(*bound, *(self.domains.get(x.name) if isinstance(x, Var) else None for x in (p.s, p.o)))
         places: dict[str, str] = {}
         for name, x in (("s", p.s), ("p", p.p), ("o", p.o)):
             if isinstance(x, Var):
@@ -179,7 +179,7 @@ class Compiler:
     def on_bgp(self, node: BGP) -> Solutions:
         if not node.patterns:
             return Solutions(self.source.spark.range(1).select(), {}, frozenset())
-        self.subjects = {p.s.name for p in node.patterns if isinstance(p.s, Var)}
+        self.domains = self.source.domains(node.patterns)
         return self.tree(self.ordered(node.patterns))
 
     def on_values(self, node: Values) -> Solutions:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.expressions import Value, as_term, stored_equal
+from ..plans.algebra import Const, Var
 
 
 @dataclass(frozen=True)
@@ -72,13 +73,29 @@ class TableTriples:
             for column, predicate in s.mapping.columns.items():
                 self.by_predicate.setdefault(predicate, []).append((s, column))
 
-    def pattern(self, s: str | None, p: str | None, o: str | None, resource: bool = False) -> tuple[DataFrame, dict[str, str]]:
-        """Triples s, p, o that match the bound positions, and the kinds of those columns that aren't terms; resource: literals are not
-        wanted as objects, as they have to be a subject elsewhere."""
-        if p is None:
-            parts = [(self.any_predicate(source, s, o, resource), {}) for source in self.sources if source.mapping.links or not resource]
+    def domains(self, patterns) -> dict[str, set[str]]:
+        """Tables whose keys a variable can name, by the positions it has in the patterns. IRIs of different tables differ."""
+        out: dict[str, set[str]] = {}
+        every = {s.mapping.table for s in self.sources}
+        for p in patterns:
+            owners = self.by_predicate.get(p.p.term, []) if isinstance(p.p, Const) else None
+            if isinstance(p.s, Var):  # no literal is a subject
+                out[p.s.name] = out.get(p.s.name, every) & ({s.mapping.table for s, _ in owners} if owners is not None else every)
+            if isinstance(p.o, Var) and owners and all(c in s.mapping.links for s, c in owners):
+                targets = {s.mapping.links[c] for s, c in owners}
+                out[p.o.name] = out.get(p.o.name, targets) & targets
+        return out
+
+    def pattern(self, s: str | None, p: str | None, o: str | None, subjects: set[str] | None = None, objects: set[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+        """Triples s, p, o that match the bound positions, and the kinds of those columns that aren't terms. subjects and objects: tables
+        whose keys alone are wanted there (see `domains`)."""
+        branches = self.by_predicate.get(p, []) if p else [b for bs in self.by_predicate.values() for b in bs]
+        branches = [(t, c) for t, c in branches if (subjects is None or t.mapping.table in subjects) and (objects is None or t.mapping.links.get(c) in objects)]
+        if p is not None or len(branches) == 1:
+            parts = [self.one_predicate(t, c, s, o) for t, c in branches]
         else:
-            parts = [self.one_predicate(source, column, s, o) for source, column in self.by_predicate.get(p, [])]
+            tables = {id(t): t for t, _ in branches}
+            parts = [(self.any_predicate(t, [c for u, c in branches if u is t], s, o), {}) for t in tables.values()]
         if len(parts) == 1:
             return parts[0]
         out = None
@@ -94,10 +111,9 @@ class TableTriples:
         df = df.where(value[0].isNotNull() if o is None else never(stored_equal(value, o)))
         return df.select(subject[0].alias("s"), F.lit(source.mapping.columns[column]).alias("p"), value[0].alias("o")), {"s": subject[1], "o": value[1]}
 
-    def any_predicate(self, source: Source, s: str | None, o: str | None, resource: bool = False) -> DataFrame:
-        """All triples of a table from one scan; a bound object first keeps the rows that have it in any column."""
-        df, subject = source.whole(), source.subject()
-        columns = {c: p for c, p in source.mapping.columns.items() if c in source.mapping.links or not resource}
+    def any_predicate(self, source: Source, columns: list[str], s: str | None, o: str | None) -> DataFrame:
+        """The triples of some columns of a table from one scan; a bound object first keeps the rows that have it in any of them."""
+        df, subject, names = source.whole(), source.subject(), source.mapping.columns
         if s is not None:
             df = df.where(never(stored_equal(subject, s)))
         if o is not None:
@@ -105,7 +121,7 @@ class TableTriples:
             for c in columns:
                 some = some | F.coalesce(never(stored_equal(source.object(c), o)), F.lit(False))
             df = df.where(some)
-        triples = F.array(*[F.struct(F.lit(p).alias("p"), as_term(source.object(c)).alias("o")) for c, p in columns.items()])
+        triples = F.array(*[F.struct(F.lit(names[c]).alias("p"), as_term(source.object(c)).alias("o")) for c in columns])
         df = df.select(as_term(subject).alias("s"), F.explode(triples).alias("t")).select("s", "t.p", "t.o").where("o is not null")
         return df if o is None else df.where(F.col("o") == o)
 
@@ -133,7 +149,10 @@ class FrameTriples:
         self.counts: dict[str, int] | None = None
         self.total = self.least = 0
 
-    def pattern(self, s: str | None, p: str | None, o: str | None, resource: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    def domains(self, patterns) -> dict[str, set[str]]:
+        return {}
+
+    def pattern(self, s: str | None, p: str | None, o: str | None, subjects: set[str] | None = None, objects: set[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
         df = self.triples
         for name, value in (("s", s), ("p", p), ("o", o)):
             if value is not None:
