@@ -32,15 +32,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: that with the group's smallest id (null ids last), of several with it the first."""
-    keyed = stored(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row")), "keyed")
-    found = setjoin.jaccard_components(keyed, id_col="_row", size=4, percent=85)
+    # numbered names, so that no column of the documents is taken for one of the operator's
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    keyed = stored(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("_row")), "keyed")
+    found = setjoin.jaccard_components(keyed, id_col="_row", text_col=names["text"], size=4, percent=85)
     found = stored(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
     # only rows of groups of several are shuffled
     several = found.where("_group <> _row").select("_group").distinct()
-    members = found.join(several, "_group", "left_semi").join(keyed.select("_row", "doc_id"), "_row")
-    best = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).getField("_row").alias("_best"))
+    members = found.join(several, "_group", "left_semi").join(keyed.select("_row", F.col(names["doc_id"]).alias("_id")), "_row")
+    best = members.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).getField("_row").alias("_best"))
     dropped = stored(members.join(best, "_group").where("_row <> _best").select("_row"), "dropped")
-    return keyed.join(dropped, "_row", "left_anti").select("_doc.*")
+    return keyed.join(dropped, "_row", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, sliced, texts
+from .runtime import arrow_schema, ddl, sliced, small_batches, texts
 
 #: White space as the vocabulary's pattern has it (the Unicode property), whatever a regex library takes \s for.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -191,6 +191,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids and decoded bytes."""
+    small_batches(docs.sparkSession)
     schema = arrow_schema(doc_id="long", n_tokens="long", ids_sha256="string", decoded_sha256="string", **({"ids": "binary", "decoded": "binary"} if keep_ids else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

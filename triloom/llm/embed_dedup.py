@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .files import Reader, Writer
-from .runtime import arrow_schema, ddl, discard, remove, shared_path, sliced, stored
+from .runtime import arrow_schema, ddl, discard, remove, shared_path, sliced, small_batches, stored
 
 #: Coordinates in a cell's name; vectors of a block and of a leaf.
 CELL_DIMS, BLOCK, LEAF = 6, 2048, 256
@@ -93,6 +93,7 @@ def least_linked(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, sample_rows: int = 5000) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
+    small_batches(vectors.sparkSession)
     eps = float(np.sqrt(2 - 2 * threshold))
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, sliced, stored, texts
+from .runtime import arrow_schema, ddl, sliced, small_batches, stored, texts
 
 #: Tokens of the shortest substring that counts, as a power of two.
 SPAN = 8
@@ -296,6 +296,7 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars."""
+    small_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("string").alias("html"))

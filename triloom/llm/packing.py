@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_schema, ddl, sliced, texts
+from .runtime import arrow_schema, ddl, sliced, small_batches, texts
 
 #: Distinct words whose ids one Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: A word of the vocabulary that stands between others.
 MARK = b"amazon"
 _WORDS: dict[str, dict[str, bytes]] = {}
@@ -33,15 +33,14 @@ _TOKENIZERS: dict = {}
 
 
 def tokenizers(path: str) -> tuple:
-    """The tokenizer as it is; one that knows no special tokens, which is faster; the special tokens; the MARK's id or None."""
+    """The tokenizer, its special tokens, and the MARK's id or None."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        whole, fast = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        fast.encode_special_tokens = True
-        mark = fast.encode(MARK.decode(), add_special_tokens=False).ids
-        _TOKENIZERS[path] = whole, fast, [t.content.encode() for t in whole.get_added_tokens_decoder().values()], mark[0] if len(mark) == 1 else None
+        one = Tokenizer.from_file(path)
+        mark = one.encode(MARK.decode(), add_special_tokens=False).ids
+        _TOKENIZERS[path] = one, [t.content.encode() for t in one.get_added_tokens_decoder().values()], mark[0] if len(mark) == 1 else None
     return _TOKENIZERS[path]
 
 
@@ -58,7 +57,8 @@ def word_ids(path: str, words: set[bytes]) -> dict[bytes, bytes]:
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()
         new = words
-    whole, fast, special, mark = tokenizers(path)
+    tokenizer, special, mark = tokenizers(path)
+    tokenizer.encode_special_tokens = False
     plain, apart = list(new), []
     # what spells the mark or a special token goes alone, if anything does
     joined = b"\n".join(plain)
@@ -67,11 +67,12 @@ def word_ids(path: str, words: set[bytes]) -> dict[bytes, bytes]:
     elif MARK in joined.lower() or any(t in joined for t in special):
         alone = [MARK in w.lower() or any(t in w for t in special) for w in plain]
         plain, apart = ([w for w, x in zip(plain, alone, strict=True) if x == y] for y in (False, True))
-    for w, got in zip(apart, whole.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False), strict=True):
+    for w, got in zip(apart, tokenizer.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False), strict=True):
         known[w] = np.asarray(got.ids, "<u4").tobytes()
-    # many words in one call, with a word between them whose one id they can't hold
+    # many words in one call, with a word between them whose one id they can't hold; none has a special token, so it needn't look for them
+    tokenizer.encode_special_tokens = True
     groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-    for part, got in zip(groups, fast.encode_batch_fast([(b" " + MARK + b" ").join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+    for part, got in zip(groups, tokenizer.encode_batch_fast([(b" " + MARK + b" ").join(g).decode() for g in groups], add_special_tokens=False), strict=True):
         ids = np.asarray(got.ids, "<u4")
         cuts = 4 * np.flatnonzero(ids == mark)
         raw = ids.tobytes()
@@ -113,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket and, with
     keep_ids, the ids as little-endian unsigned 32-bit integers. sequence_id is the partition's number times 2^36
     plus a running number, so it needs no shuffle. longest must be a power of two."""
+    small_batches(docs.sparkSession)
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     kinds = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long", "bucket": "int"}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .runtime import arrow_schema, ddl, sliced, texts
+from .runtime import arrow_schema, ddl, sliced, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. A lookbehind keeps the search for ip linear and starts no match elsewhere.
@@ -374,6 +374,7 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, net: Tagger, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256 and spans (base and model's)."""
+    small_batches(docs.sparkSession)
     schema = arrow_schema(doc_id="long", n_email="long", n_ip="long", n_card="long", n_phone="long", base_sha256="string", spans="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +402,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, net: Tagger, *, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with personal data in the text masked; a null text stays null."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     to = StructType([StructField(text_col, StringType()) if f.name == text_col else f for f in docs.schema.fields])
     at = names.index(text_col)

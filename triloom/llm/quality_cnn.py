@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .runtime import arrow_schema, ddl, sliced, texts
+from .runtime import arrow_schema, ddl, sliced, small_batches, texts
 
 SEGMENT, WIDTH = 256, 6
 #: Bytes taken at once.
@@ -251,16 +251,19 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
 
 def score(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, score and predicted, with the columns named in keep as struct `_kept`."""
+    small_batches(docs.sparkSession)
     to = StructType([StructField("_kept", StructType([f for f in docs.schema if f.name in keep]) if keep else IntegerType()), StructField(id_col, docs.schema[id_col].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net.constant is None else None
         for batch in batches:
-            got = scores(net, [x.encode("utf-8", "replace") for x in texts(batch.column(2))], tables)
+            column = batch.column(2) if text_col not in keep else batch.column(0).field(text_col).cast(pa.string())
+            got = scores(net, [x.encode("utf-8", "replace") for x in texts(column)], tables)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=to.names)
 
     kept = F.struct(*[F.col(c) for c in docs.columns if c in keep]) if keep else F.lit(None).cast("int")
-    return docs.select(kept.alias("_kept"), F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(sliced(run), to)
+    text = [] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]
+    return docs.select(kept.alias("_kept"), F.col(id_col), *text).mapInArrow(sliced(run), to)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 700, max_bytes: int = 6_000_000, max_text: int = 60_000) -> Net:

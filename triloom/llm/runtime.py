@@ -64,6 +64,13 @@ def sliced(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS, which keeps Spark's own buffers small; a session that says how many it wants keeps its number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import Reader, Writer
-from .runtime import arrow_schema, ddl, shared_path, sliced, stored
+from .runtime import arrow_schema, ddl, shared_path, sliced, small_batches, stored
 
 BLOCK_LINES = 1000
 
@@ -81,6 +81,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """Write archives and index; returns the captures (key, page_id, file, offset, length) and the directory
     (first, file, offset, length, n_lines, first_page, part)."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
     html = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
