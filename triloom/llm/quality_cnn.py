@@ -28,7 +28,7 @@ from .runtime import arrow_schema, ddl, sliced, small_batches, texts
 
 SEGMENT, WIDTH = 256, 6
 #: Bytes taken at once.
-UNIT = 1 << 18
+UNIT = 1 << 17
 
 
 @dataclass
