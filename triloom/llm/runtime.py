@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,10 +57,15 @@ def discard(df: DataFrame) -> None:
 
 
 def sliced(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """f over slices of so many rows, which bounds the Python objects alive at once without a session setting."""
+    """f over slices of so many rows, which bounds the Python objects alive at once. What the task leaves free goes back to the system:
+    Spark keeps its workers, and idle ones would hold it from the executor's other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        yield from f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
 
     return run
 
