@@ -186,6 +186,47 @@ def test_bitmaps_never_exceed_the_difference(n):
         assert apart % 2 == len(np.setxor1d(base, other)) % 2  # folded rightly: parity of the difference stays
 
 
+def passages_in_three(n):
+    """n texts of six shingles; 60 further ones hold one of 20 passages of two shingles, each in three texts and a copy of one, in other places."""
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(9))) for i in range(n)]
+    own = lambda i: " ".join(f"v{i}x{j}" for j in range(20))
+    more = [(n + i, f"{own(i)} " + " ".join(f"p{i % 20}x{j}" for j in range(5))) for i in range(60)]
+    return rows + more + [(n + 60 + i, more[i][1]) for i in range(20)]
+
+
+def test_setjoin_counts_all_rows(spark, monkeypatch):
+    """Shingles that three texts hold are found among all rows, copies count once, and the boundary sees all sets."""
+    seen, sketches, boundary = [], setjoin.sketches, setjoin.boundary
+    monkeypatch.setattr(setjoin, "sketches", lambda *a: seen.append(len(a[3])) or sketches(*a))
+    monkeypatch.setattr(setjoin, "boundary", lambda sizes, percent, others, times=1: seen.append(int((sizes**0 * times).sum())) or boundary(sizes, percent, others, times))
+    texts = passages_in_three(21_000)
+    got = setjoin.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 60 if i >= 21_060 else i for i, _ in texts}
+    assert sorted(seen) == [20 * 2, 21_060]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_shingle_counts_are_exact(spark, monkeypatch, ranges):
+    """Summed in runs and ranges: the counts that plain Python finds."""
+    monkeypatch.setattr(setjoin, "RUN", 40)
+    rng = np.random.default_rng(3)
+    texts = [(i, i, " ".join(f"w{rng.integers(0, 4)}" for _ in range(int(rng.integers(0, 60))))) for i in range(80)] + [(80, 80, None)]
+    rows = spark.createDataFrame(texts, "id long, rid long, text string").repartition(3)
+    keys = collections.Counter(int(h >> np.uint64(64 - setjoin.KEY_BITS)) for _, _, t in texts for s in setjoin.shingle_sets([(t or "").encode()], 4) for h in s)
+    got = setjoin.shingle_counts(rows, 4, ranges, 3).collect()
+    assert {r.key: r.n for r in got if r.key is not None} == {k: n for k, n in keys.items() if n >= 3}
+    times = collections.Counter()
+    for r in got:
+        times[r.n] += r.times
+    assert times == collections.Counter(keys.values())
+    heavy, others = setjoin.common_shingles(rows, 4, 3, 20)
+    bound = min(x for x in range(3, 100) if sum(n >= x for n in keys.values()) <= 20)
+    assert heavy.tolist() == sorted(k for k, n in keys.items() if n >= bound)
+    assert others == sum(n * (n - 1) for n in keys.values() if n < bound) / sum(keys.values())
+    for x in ([0], [1, 255, 256, 0], [1 << 47, 5]):
+        assert setjoin.unplaned(setjoin.planes(np.array(x, np.uint64)), len(x)).tolist() == x
+
+
 def test_setjoin_boundary_keeps_all_links(spark):
     texts = [(i, " ".join(f"x{j}" for j in range(i % 7, 30 + i % 7))) for i in range(40)]
     rows = spark.createDataFrame(texts, "doc_id long, text string")

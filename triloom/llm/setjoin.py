@@ -1,10 +1,11 @@
 """N-gram Jaccard join: size-aware, heavy-light, exact.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Equal sets form a class and join as one.
-Shingles have one global order: those that a sample finds in many documents last, else by hash. A linked pair must share
-a shingle among the first p = n - ceil(t n) + 1 of each, and two among the first p + 1.
+Shingles have one global order: those in most texts last, else by hash. How many texts hold each shingle is counted over all
+rows, one of each group of equal texts (by the upper KEY_BITS of its hash; the lists that meet use all of them): tasks sum sorted runs
+of shingles, and each range of the hashes is summed by one task. A linked pair must share a shingle among the first p = n - ceil(t n) + 1 of each, and two among the first p + 1.
 
-Small sets (up to a boundary that the sample's costs choose) enumerate the subsets of two of their first p + 1 shingles; pairs
+Small sets (up to a boundary that the costs by all sets' sizes and counts choose) enumerate the subsets of two of their first p + 1 shingles; pairs
 of small sets meet in an equal subset. Larger sets, and small ones near the boundary, go into inverted lists of
 their first p shingles, which are scanned. Subsets make more rows, lists more meetings of sets that don't link, and a meeting costs
 MEETING rows. Of either kind only lists with two sets or more are kept. Lists of over LIST_ROWS sets are dealt in blocks: by another
@@ -40,6 +41,8 @@ U = np.uint64
 #: Sets of a list, or of a block of one, in a task; rows that a meeting of two sets in a list costs (it is joined with what
 #: is known of both in each round, made a pair, shuffled, summed).
 LIST_ROWS, MEETING = 20_000, 10
+#: Bits of a shingle's hash that it is counted by; shingles that a task sums at once; bytes of text whose shingles make a range.
+KEY_BITS, RUN, RANGE_BYTES = 48, 500_000, 8_000_000
 _POWER = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_POWER), -1, 1 << 64))
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -144,7 +147,7 @@ def bitmaps(column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """Per row: id, rid (id, or a hash of the text), n, set (hash of the whole set), bits (its bitmap) and first, the first p + 1 shingles in the global order."""
+    """heavy: sorted keys of the shingles that come last. Per row: id, rid (id, or a hash of the text), n, set (hash of the whole set), bits (its bitmap) and first, the first p + 1 shingles in the global order."""
     schema = arrow_schema(id="long", rid="long", n="long", set="long", bits="binary", first="longs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,8 @@ def sketches(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> Dat
                     bits.append(bitmap(s))
                     p = len(s) - int(need(np.int64(len(s)), percent)) + 1
                     if len(heavy) and len(s):
-                        common = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
+                        keys = s >> U(64 - KEY_BITS)
+                        common = heavy[np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)] == keys
                         s = np.concatenate([s[~common][: p + 1], s[common][: p + 1]])
                     firsts.append(s[: p + 1].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
@@ -189,28 +193,107 @@ def whole_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sliced(run), ddl(schema))
 
 
-def common_shingles(docs: DataFrame, size: int, sample_rows: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """From a tenth of the rows, sample_rows at least: up to `most` shingles that stand in at least `least` of them, the sizes of
-    some sets, and the mean number of other sampled sets in a shingle's list. Only the order of work depends on it, no result."""
-    rows = docs.count()
-    if not rows:
-        return np.zeros(0, U), np.zeros(0, np.int64), 0.0
-    sample_rows = max(sample_rows, rows // 10)
-    some = docs.sample(min(1.0, sample_rows / rows), seed=5) if rows > sample_rows else docs
-    sets = stored(whole_sets(some, size).where(F.size("shingles") > 0).dropDuplicates(["set"]), "sample")
-    sizes = np.array([r["n"] for r in sets.select(F.size("shingles").alias("n")).limit(10_000).collect()], np.int64)
-    counts = stored(sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= 2), "counts")
-    found = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "s").limit(most).collect()
-    light = counts.where(F.col("n") < least).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("x")).first()["x"] or 0
-    discard(sets)
-    discard(counts)
-    return np.sort(np.array([r["s"] for r in found], np.int64).view(U)), sizes, float(light) / max(1, int(sizes.sum())) * max(1.0, rows / sample_rows)
-
-
-def boundary(sizes: np.ndarray, percent: int, others: float) -> int:
-    """The size up to which enumerating subsets costs less than scanning lists, by the sample's sizes and the mean number of others in a list."""
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers by place of their bytes, without the places that are 0 in all."""
+    w = -(-int(x.max()).bit_length() // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes()
+
+
+def unplaned(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    w = len(data) // size
+    out[:, :w] = np.frombuffer(data, np.uint8).reshape(w, size).T
+    return out.view("<u8").ravel()
+
+
+def summed_keys(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sum of their n (1 each if None)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[fresh], np.diff(np.append(fresh, len(keys))).astype(U) if n is None else np.add.reduceat(n, fresh)
+
+
+def shingle_counts(docs: DataFrame, size: int, ranges: int, least: int) -> DataFrame:
+    """n, times, key: each key (the upper bits of a shingle) that n >= least rows (id, rid, text) hold, times 1; of smaller n, without
+    a key, how many keys have it. Sums of tasks travel as gaps between sorted keys, a row for each range of keys."""
+    starts = np.array([-(-(k << KEY_BITS) // ranges) for k in range(ranges)], U)
+    sums, schema = arrow_schema(range="long", size="long", gaps="binary", n="binary"), arrow_schema(n="long", times="long", key="long")
+
+    def parts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = summed_keys(np.concatenate(held) >> U(64 - KEY_BITS))
+        ends = [*np.searchsorted(keys, starts[1:]).tolist(), len(keys)]
+        rows, begin = [], 0
+        for k, end in enumerate(ends):
+            if end > begin:
+                rows.append((k, end - begin, planes(np.diff(keys[begin:end], prepend=starts[k])), planes(n[begin:end])))
+            begin = end
+        for k in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 1000], strict=True), sums, strict=True)], schema=sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for part in grouped(texts(batch.column(2))):
+                for s in shingle_sets(part, size):
+                    held.append(s)
+                    count += len(s)
+                if count >= RUN:
+                    yield from parts(held)
+                    held, count = [], 0
+        if count:
+            yield from parts(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in runs(batches):
+            begins = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(columns[0])], strict=True):
+                of, sizes, gaps, counts = (c[i:j] for c in columns)
+                keys = [np.cumsum(unplaned(g, k)) + starts[of[0]] for g, k in zip(gaps, sizes.tolist(), strict=True)]
+                keys, n = summed_keys(np.concatenate(keys), np.concatenate([unplaned(c, k) for c, k in zip(counts, sizes.tolist(), strict=True)]))
+                few = np.bincount(n[n < least].astype(np.int64), minlength=1)
+                k = np.flatnonzero(few)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(few[k], pa.int64()), pa.nulls(len(k), pa.int64())], schema=schema)
+                keys, n = keys[n >= least].view(np.int64), n[n >= least].view(np.int64)
+                for a in range(0, len(keys), 100_000):
+                    b = min(a + 100_000, len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(n[a:b]), pa.array(np.ones(b - a, np.int64)), pa.array(keys[a:b])], schema=schema)
+
+    return docs.mapInArrow(sliced(run), ddl(sums)).repartition("range").sortWithinPartitions("range").mapInArrow(merge, ddl(schema))
+
+
+def common_shingles(rows: DataFrame, size: int, least: int, most: int, broadcast_rows: int = 1_000_000) -> tuple[np.ndarray, float]:
+    """By the counts of all rows (id, rid, text), of equal texts one: sorted keys of the shingles in most texts, at least `least`, up to
+    `most` of them (those with equal counts all or none), and the mean number of other texts that hold a shingle which isn't among them.
+    Only the order of work depends on it, no result."""
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("same", F.xxhash64("text"))
+    several = stored(rows.groupBy("same").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1").select("same", "first"), "several")
+    # two numbers of each repeated text go to the texts if counted to be few; of its rows that of the smallest rid stays
+    few = several.count() <= broadcast_rows
+    once = rows.join(F.broadcast(several) if few else several, "same", "left").where("first is null or rid = first").select("id", "rid", "text")
+    counts = stored(shingle_counts(once, size, min(1 << (64 - KEY_BITS), 1 + held // RANGE_BYTES), least), "counts")
+    times = {r["n"]: r["times"] for r in counts.groupBy("n").agg(F.sum("times").alias("times")).collect()}
+    bound, kept = max([least - 1, *times]) + 1, 0
+    for n in sorted((n for n in times if n >= least), reverse=True):
+        if (kept := kept + times[n]) > most:
+            break
+        bound = n
+    found = counts.where(F.col("key").isNotNull() & (F.col("n") >= bound)).select("key").collect()
+    for done in (several, counts):
+        discard(done)
+    light = sum(n * (n - 1) * k for n, k in times.items() if n < bound)
+    return np.sort(np.array([r["key"] for r in found], U)), light / max(1, sum(n * k for n, k in times.items()))
+
+
+def boundary(sizes: np.ndarray, percent: int, others: float, times: np.ndarray | int = 1) -> int:
+    """The size up to which enumerating subsets costs less than scanning lists, by the sizes of sets, how many have each, and the mean
+    number of others in a list."""
     p = sizes - need(sizes, percent) + 1
-    subsets, lists = p * (p + 1) // 2, p * (1 + MEETING * others)
+    subsets, lists = times * (p * (p + 1) // 2), times * p * (1 + MEETING * others)
     edges = [0, *(k * 100 // (100 - percent) for k in (1, 2, 3))]  # beyond that a large group of copies would make far more subsets than list rows
     return min(edges, key=lambda x: (float(subsets[sizes <= x].sum() + lists[100 * sizes > percent * x].sum()), x))
 
@@ -385,17 +468,18 @@ def known(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None, links: Da
     return lists.select("key", "set", "n", F.col("others").alias("size")).join(nodes, "set").select("key", "set", "n", "size", F.coalesce("root", "set").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), *more)
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, sample_rows: int = 20_000, least: int = 3, most: int = 200_000, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, least: int = 3, most: int = 200_000, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id, the smallest id reachable by links of `percent` or more."""
     small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("rid"), text.alias("text"))
-    heavy, sizes, others = common_shingles(rows, size, sample_rows, least, most)
-    edge = boundary(sizes, percent, others)
+    heavy, others = common_shingles(rows, size, least, most)
     sketch = stored(sketches(rows, size, percent, heavy), "sketch")
     # sets under 100 / (100 - t) shingles, rounded down, link with equal ones alone
     first = sketch.where(F.col("n") * (100 - percent) >= percent).groupBy("set", "n").agg(F.first("first").alias("first"))
     first = stored(first, "first")
+    sizes = np.array([(r["n"], r["times"]) for r in first.groupBy("n").agg(F.count("*").alias("times")).collect()], np.int64).reshape(-1, 2)
+    edge = boundary(sizes[:, 0], percent, others, sizes[:, 1])
     lists = stored(lists_of_many(keyed(first, percent, edge)), "lists")
     met = stored(lists.groupBy("set").agg(F.sum("others").alias("others")), "met")
     merged, links = None, None
