@@ -770,6 +770,17 @@ def brute_kept(rows):
     return [r for r, base, soft in measured if not base and soft < (1 if (sum(hosts[r.source]) + mean * strength) / (len(hosts[r.source]) + strength) >= 0.5 else 2)]
 
 
+def test_pipeline_counts_all_rows(spark, monkeypatch):
+    """The pipeline's join orders shingles by counts of all the rows it gets, and keeps the first of each copy."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    seen, sketches = [], setjoin.sketches
+    monkeypatch.setattr(setjoin, "sketches", lambda *a: seen.append(len(a[3])) or sketches(*a))
+    docs = spark.createDataFrame(passages_in_three(21_000), "doc_id long, text string")
+    got = pipeline.deduplicate(spark, docs, "")
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == list(range(21_060))
+    assert seen == [20 * 2]
+
+
 def test_pipeline_decisions(spark):
     """Each stage's rows on the test table equal those that plain Python keeps of the stage before."""
     from tokenizers import Tokenizer
