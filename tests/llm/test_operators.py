@@ -198,11 +198,11 @@ def test_setjoin_counts_all_rows(spark, monkeypatch):
     """Shingles that three texts hold are found among all rows, copies count once, and the boundary sees all sets."""
     seen, sketches, boundary = [], setjoin.sketches, setjoin.boundary
     monkeypatch.setattr(setjoin, "sketches", lambda *a: seen.append(len(a[3])) or sketches(*a))
-    monkeypatch.setattr(setjoin, "boundary", lambda sizes, percent, others, times=1: seen.append(int((sizes**0 * times).sum())) or boundary(sizes, percent, others, times))
-    texts = passages_in_three(21_000)
+    monkeypatch.setattr(setjoin, "boundary", lambda sizes, percent, others, *times: seen.append(int(sum(times[0]) if times else len(sizes))) or boundary(sizes, percent, others, *times))
+    texts = passages_in_three(26_000)
     got = setjoin.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: i - 60 if i >= 21_060 else i for i, _ in texts}
-    assert sorted(seen) == [20 * 2, 21_060]
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 60 if i >= 26_060 else i for i, _ in texts}
+    assert sorted(seen) == [20 * 2, 26_060]
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 50])
@@ -775,9 +775,9 @@ def test_pipeline_counts_all_rows(spark, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
     seen, sketches = [], setjoin.sketches
     monkeypatch.setattr(setjoin, "sketches", lambda *a: seen.append(len(a[3])) or sketches(*a))
-    docs = spark.createDataFrame(passages_in_three(21_000), "doc_id long, text string")
+    docs = spark.createDataFrame(passages_in_three(26_000), "doc_id long, text string")
     got = pipeline.deduplicate(spark, docs, "")
-    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == list(range(21_060))
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == list(range(26_060))
     assert seen == [20 * 2]
 
 
